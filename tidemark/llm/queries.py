@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, token_planes
+from . import html_extract, line_dedup, mixing, packing, quality_rules, simhash, token_planes, vector_tree
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_packing": packing.op3_packing,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_token_planes": token_planes.op5_token_planes,
         "op6_mixing": mixing.op6_mixing,
+        "op7_html_extract": html_extract.op7_html_extract,
+        "op8_simhash": simhash.op8_simhash,
+        "op10_vector_tree": vector_tree.op10_vector_tree,
     }
 
 
