@@ -58,7 +58,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     text = text_or_empty(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("ld_in"), F.col(id_col).alias("ld_doc"), text.alias("ld_text"), F.xxhash64(text).alias("ld_hash"))
-    marked = rows.join(drops, F.col("ld_doc").eqNullSafe(F.col("ld_id")) & (F.col("ld_hash") == F.col("ld_row")), "left")
+    # Built in memory from one partition's line numbers, so the texts are moved but not sorted.
+    marked = rows.join(drops.hint("shuffle_hash"), F.col("ld_doc").eqNullSafe(F.col("ld_id")) & (F.col("ld_hash") == F.col("ld_row")), "left")
     # The generator keeps the split array as a column, so that the lambda below doesn't split again for each line.
     split = marked.select("ld_in", "ld_text", "ld_drop", F.explode(F.array(_lines(F.col("ld_text")))).alias("ld_lines"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ld_lines") - 1), F.col("ld_drop")), lambda i: F.get(F.col("ld_lines"), i))
