@@ -13,10 +13,21 @@ import re
 from array import array
 from collections.abc import Iterable
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: All letters below are in composed form, and all but U+0130 have one letter as their lower case.
+_LATIN = "\u0250"
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level BPE writes each byte as one character: printable Latin-1 as itself, the others from U+0100 up."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return dict(zip([b for b in range(256) if b not in plain], range(0x100, 0x200)))
+
+
+_ALPHABET = _byte_alphabet()
 _loaded: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -40,11 +51,25 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
-        self.spaced, self.kept = spaced, {}
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast
-        return [array("I", e.ids).tobytes() for i in range(0, len(pieces), 50_000) for e in batch(pieces[i : i + 50_000], add_special_tokens=False)]
+        self.model, self.spaced, self.kept = self.tokenizer.model, spaced, {}
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Latin letters alone are one cut and pass every normaliser but lower case, so the library's model can take them at once."""
+        out: list[bytes | None] = []
+        rest, merge, alphabet, lower = [], self.model.tokenize, _ALPHABET, not self.spaced
+        for w in words:
+            bare = w[1:] if self.spaced and w[:1] == " " else w
+            if bare.isalpha() and max(bare) < _LATIN and "\u0130" not in bare:
+                piece = bare.lower() if lower else bare if len(bare) < len(w) else " " + bare
+                out.append(array("I", [t.id for t in merge(piece.encode().decode("latin-1").translate(alphabet))]).tobytes())
+            else:
+                out.append(None)
+                rest.append(bare if not self.spaced or len(bare) < len(w) else " " + bare)
+        if rest:
+            batch = self.tokenizer.encode_batch_fast
+            got = iter([array("I", e.ids).tobytes() for i in range(0, len(rest), 50_000) for e in batch(rest[i : i + 50_000], add_special_tokens=False)])
+            out = [next(got) if x is None else x for x in out]
+        return out
 
     def group(self, texts: list[str]) -> list[bytes]:
         kept = self.kept
@@ -63,9 +88,9 @@ class WordEncoder:
             new = set().union(*cut).difference(kept)
         stops = [w for w in new if len(w) > 2 and w[-1] in ".," and w[-2].lower()[-1].isalnum()]
         bare = list(new.difference(stops).union([w[:-1] for w in stops]).difference(kept))
-        kept.update(zip(bare, self.encode([w[1:] if w[:1] == " " else " " + w for w in bare] if self.spaced else bare)))
+        kept.update(zip(bare, self.encode(bare)))
         if stops:
-            end = dict(zip(".,", self.encode([".", ","])))
+            end = dict(zip(".,", self.encode([" .", " ,"] if self.spaced else [".", ","])))
             kept.update([(w, kept[w[:-1]] + end[w[-1]]) for w in stops])
         look = kept.__getitem__
         out = [b"".join(map(look, words)) for words in cut]
