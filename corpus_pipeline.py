@@ -11,19 +11,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, packing
+from tidemark.llm import line_dedup, mixing, packing, quality_rules, simhash
 from tidemark.llm.common import like_input, shared_dir
 
 #: The weak-supervision verdict, the fingerprints and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the weighed rules reject go."""
+    return quality_rules.keep_sound(docs)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines shared by many documents are cut out of the text; n_chars follows."""
     out = line_dedup.dedup_lines(docs)
     return like_input(out.withColumn("n_chars", F.char_length("text").cast("long")), docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is there as often as the mix takes it: not at all, once or twice."""
     out = mixing.mix(docs, keep_text=True)
@@ -35,7 +45,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality_rules", filter_quality),
     ("line_dedup", dedup_lines),
+    ("simhash", drop_near_duplicates),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, read
@@ -71,11 +71,11 @@ def features(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _ratio(a: str, b: str = "n_words"):
+def _ratio(a: str, b: str = "n_words") -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-def rules() -> dict:
+def rules() -> dict[str, tuple[Column, Column]]:
     """name: (junk if, sound if); a rule abstains where neither holds."""
     symbols, repeats, caps, length = _ratio("n_symbols"), _ratio("n_repeat_words"), _ratio("n_caps"), _ratio("word_chars")
     marks, runs, ends = _ratio("n_marks"), _ratio("n_adjacent"), _ratio("n_stops", "n_lines")
@@ -94,17 +94,27 @@ def rules() -> dict:
     }
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash (of the text) and FEATURES."""
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of docs besides text_col, and FEATURES (which replace columns of these names)."""
+    own = [c for c in docs.columns if c.lower() not in {*FEATURES, text_col.lower()}]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").alias("qr_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * len(FEATURES))]], names=["doc_id", "row_hash", *FEATURES])
+            got = [features(t) for t in b.column(len(own)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *[pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * len(FEATURES))]], names=[*own, *FEATURES])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(run, ", ".join([f"doc_id {kind}", "row_hash long", *[f"{x} long" for x in FEATURES]]))
+    return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], *[f"{x} long" for x in FEATURES]]))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
+
+
+def pattern() -> Column:
+    """The votes as one number below 3**rules."""
+    votes = [F.when(bad, 0).when(ok, 2).otherwise(1) for bad, ok in rules().values()]
+    return sum((v * 3**i for i, v in enumerate(votes)), F.lit(0)).cast("int")
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
@@ -139,33 +149,32 @@ def accuracies(share: float, given: np.ndarray) -> list[float]:
     return (right / (right + wrong)).tolist()
 
 
+def posteriors(voted: DataFrame) -> DataFrame:
+    """voted: n_words, n_repeat_words, qr_code of each text. qr_at, quality: P(sound | pattern), a row a pattern seen."""
+    counts = voted.filter(~base_failed()).groupBy("qr_code").count().collect()  # at most 3**rules rows
+    codes, width = np.array([c["qr_code"] for c in counts], np.int64), len(rules())
+    good = estimate((codes[:, None] // 3 ** np.arange(width)) % 3 - 1, np.array([c["count"] for c in counts], float))[2] if counts else []
+    return voted.sparkSession.createDataFrame([(int(c), float(g)) for c, g in zip(codes, good)], "qr_at int, quality double")
+
+
+def _verdict(threshold: float) -> Column:
+    return ~base_failed() & (F.coalesce("quality", F.lit(0.0)) >= threshold)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_hash, FEATURES, base_failed, quality (posterior that the text is sound) and kept, a row for each of docs."""
-    vote = {name: F.when(bad, -1).when(ok, 1).otherwise(0).cast("tinyint") for name, (bad, ok) in rules().items()}
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
-    # 3**k codes: a pattern is one small number.
-    code = sum(((v + 1).cast("int") * 3**i for i, v in enumerate(vote.values())), F.lit(0))
-    voted = checkpointed(measured(docs, id_col, text_col).select("*", base.alias("base_failed"), code.alias("qr_code")))
-    counts = voted.filter(~F.col("base_failed")).groupBy("qr_code").count().collect()  # at most 3**rules rows
-    codes = np.arange(3 ** len(vote))
-    patterns = (codes[:, None] // 3 ** np.arange(len(vote))) % 3 - 1
-    n = np.zeros(len(codes))
-    for c in counts:
-        n[c["qr_code"]] = c["count"]
-    seen = n > 0
-    if not seen.any():
-        seen[-1], n[-1] = True, 1
-    share, given, good = estimate(patterns[seen], n[seen])
-    table = docs.sparkSession.createDataFrame([(int(c), float(g)) for c, g in zip(codes[seen], good)], "qr_at int, quality double")
-    out = voted.join(F.broadcast(table), F.col("qr_code") == F.col("qr_at"), "left")
-    return out.select("doc_id", "row_hash", *FEATURES, "base_failed", "quality", (~F.col("base_failed") & (F.coalesce("quality", F.lit(0.0)) >= threshold)).alias("kept"))
-
-
-def keep_sound(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text is kept. Verdicts depend on the text alone, so they are joined by id and text hash."""
-    kept = judge(docs, id_col, text_col, threshold).filter("kept").select(F.col("doc_id").alias("qr_id"), F.col("row_hash").alias("qr_hash")).distinct()
-    rows = docs.select("*", F.xxhash64(f"`{text_col}`").alias("qr_row"))
-    return rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("qr_id")) & (F.col("qr_row") == F.col("qr_hash")), "left_semi").drop("qr_row")
+    """doc_id, FEATURES, base_failed, quality (posterior that the text is sound) and kept, a row for each of docs."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("qr_in"))
+    voted = checkpointed(measured(rows, "qr_in").withColumn("qr_code", pattern()))
+    out = voted.join(F.broadcast(posteriors(voted)), F.col("qr_code") == F.col("qr_at"), "left")
+    return out.select("doc_id", *FEATURES, base_failed().alias("base_failed"), "quality", _verdict(threshold).alias("kept"))
+
+
+def keep_sound(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text is kept. Texts are measured twice, once to count patterns and once to filter, so none is shuffled."""
+    table = posteriors(measured(docs.select(F.col(f"`{text_col}`").alias("qr_in")), "qr_in").select("n_words", "n_repeat_words", pattern().alias("qr_code")))
+    rows = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("qr_row"), F.col(f"`{text_col}`").alias("qr_in")), "qr_in")
+    out = rows.withColumn("qr_code", pattern()).join(F.broadcast(table), F.col("qr_code") == F.col("qr_at"), "left")
+    return out.filter(_verdict(threshold)).select("qr_row.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

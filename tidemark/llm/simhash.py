@@ -244,11 +244,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id (rows without id come last, ties by the text's hash)."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_hash")))
-    kept = near_duplicates(docs, id_col, text_col, **options).groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("nd_id"), F.col("k.row_hash").alias("nd_hash"))
+    prints = near_duplicates(docs, id_col, text_col, **options)
+    kept = prints.groupBy("root", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("rows")).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row_hash"), F.col("rows"))).alias("k"))
+    kept = checkpointed(kept.select(F.col("k.doc_id").alias("nd_id"), F.col("k.row_hash").alias("nd_hash"), F.col("k.rows").alias("nd_rows")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("nd_in"), F.col(f"`{id_col}`").cast("long").alias("nd_doc"), F.xxhash64(f"`{text_col}`").alias("nd_row"))
-    met = rows.join(kept, F.col("nd_doc").eqNullSafe(F.col("nd_id")) & (F.col("nd_row") == F.col("nd_hash")), "left_semi")
-    return met.dropDuplicates(["nd_doc", "nd_row"]).select("nd_in.*")
+    same = F.col("nd_doc").eqNullSafe(F.col("nd_id")) & (F.col("nd_row") == F.col("nd_hash"))
+    # Only rows that are there more than once need to be compared; the texts are moved once, and not sorted.
+    once = rows.join(kept.filter("nd_rows = 1").hint("shuffle_hash"), same, "left_semi")
+    more = rows.join(kept.filter("nd_rows > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["nd_doc", "nd_row"])
+    return once.unionByName(more).select("nd_in.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
