@@ -8,6 +8,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 #: The code points that count as emoji here.
 RANGES = (
@@ -47,16 +48,16 @@ def entropy(found: list[str]) -> float:
     return -sum(c / n * math.log(c / n) for c in Counter(found).values()) if n else 0.0
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_count(text: pd.Series) -> pd.Series:
     return text.map(count_words, na_action="ignore").fillna(0).astype("int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_count_runs(text: pd.Series) -> pd.Series:
     return text.map(lambda t: count_words(t, True), na_action="ignore").fillna(0).astype("int64")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def emoji_units(text: pd.Series) -> pd.Series:
     return text.map(units, na_action="ignore").map(lambda u: u if isinstance(u, list) else [])

@@ -69,14 +69,14 @@ def containment(shorts: DataFrame, longs: DataFrame, by: str, id_col: str, text_
     """
     side = lambda df, p: df.select(F.col(by).alias(f"{p}_by"), F.col(id_col).alias(f"{p}_id"), T.match_words(F.col(text_col)).alias(f"{p}_words")).withColumn(f"{p}_set", F.array_distinct(f"{p}_words")).filter(F.size(f"{p}_set") > 0)
     s, l = side(shorts, "s"), side(longs, "l")  # noqa: E741
-    grams = l.select("l_by", "l_id", F.explode("l_set").alias("w"))
-    known = grams.groupBy("l_by", "w").agg(F.count(F.lit(1)).alias("df"))
-    own = s.select("s_by", "s_id", F.size("s_set").alias("n"), F.explode("s_set").alias("kw"))
-    mine = own.join(known.withColumnsRenamed({"l_by": "k_by", "w": "k_w"}), (F.col("s_by") == F.col("k_by")) & (F.col("kw") == F.col("k_w")), "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rank = F.row_number().over(W.partitionBy("s_by", "s_id").orderBy("df", "kw"))
-    probes = mine.withColumn("r", rank).filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("s_by", "s_id", "kw")
-    pairs = probes.join(grams, (F.col("s_by") == F.col("l_by")) & (F.col("kw") == F.col("w"))).select("s_by", "s_id", "l_id").distinct()
-    both = pairs.join(s, ["s_by", "s_id"]).join(l, (F.col("s_by") == F.col("l_by")) & (pairs["l_id"] == l["l_id"])).select("s_by", "s_id", l["l_id"].alias("l_id"), "s_words", "l_words", "s_set", "l_set")
+    own = s.select(F.col("s_by").alias("o_by"), F.col("s_id").alias("o_id"), F.size("s_set").alias("n"), F.explode("s_set").alias("o_w"))
+    grams = l.select(F.col("l_by").alias("g_by"), F.col("l_id").alias("g_id"), F.explode("l_set").alias("g_w"))
+    known = grams.groupBy(F.col("g_by").alias("k_by"), F.col("g_w").alias("k_w")).agg(F.count(F.lit(1)).alias("df"))
+    mine = own.join(known, (F.col("o_by") == F.col("k_by")) & (F.col("o_w") == F.col("k_w")), "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rank = F.row_number().over(W.partitionBy("o_by", "o_id").orderBy("df", "o_w"))
+    probes = mine.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("o_by", "o_id", "o_w")
+    pairs = probes.join(grams, (F.col("o_by") == F.col("g_by")) & (F.col("o_w") == F.col("g_w"))).select("o_by", "o_id", "g_id").distinct()
+    both = pairs.join(s, (F.col("o_by") == F.col("s_by")) & (F.col("o_id") == F.col("s_id"))).join(l, (F.col("o_by") == F.col("l_by")) & (F.col("g_id") == F.col("l_id"))).select("s_by", "s_id", "l_id", "s_words", "l_words", "s_set", "l_set")
     likely = both.filter(F.size(F.array_intersect("s_set", "l_set")) / F.size("s_set") >= threshold).select("s_by", "s_id", "l_id", "s_words", "l_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

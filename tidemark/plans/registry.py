@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dynamic, era, rcedtg
+from . import content, dynamic, era, rcedtg, reports
 
-MODULES = (era, dynamic, rcedtg)
+MODULES = (era, dynamic, rcedtg, content, reports)
 
 
 def queries() -> dict:
