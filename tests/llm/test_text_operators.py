@@ -1,0 +1,266 @@
+"""Line dedup, licences, quality rules, SimHash, secrets: against brute force, and on odd input."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import license_scan, line_dedup, quality_rules, secret_scan, simhash
+
+WS = " \t\n\x0b\f\r"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def make_texts(seed, n):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefghiéß") for _ in range(r.randint(1, 8))) for _ in range(300)]
+    shared = [" ".join(r.choice(vocab) for _ in range(12)) for _ in range(6)]
+    out = []
+    for i in range(n):
+        lines = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 6))]
+        for s in shared:
+            if r.random() < 0.1:
+                lines.insert(r.randint(0, len(lines)), r.choice(["", " ", "\t"]) + (s.upper() if r.random() < 0.3 else s) + r.choice(["", "  "]))
+        out.append("\n".join(lines))
+    for i in range(0, n, 9):
+        out.append(out[i])
+        w = out[i].split(" ")
+        if len(w) > 30:
+            w[5] = "changed"
+            out.append(" ".join(w))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = make_texts(3, 150)
+    return spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").cache()
+
+
+def test_line_dedup_equals_brute_force(docs):
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    held = collections.defaultdict(set)
+    key = lambda line: lower(line.strip(WS))
+    for d, t in rows.items():
+        for line in t.split("\n"):
+            held[key(line)].add(d)
+    want = {}
+    for d, t in rows.items():
+        kept = [x for x in t.split("\n") if not (len(key(x)) >= 40 and len(held[key(x)]) >= 5 and d != max(held[key(x)]))]
+        want[d] = ("\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == want
+    assert sum(x[2] for x in want.values()) > 10
+
+
+def test_line_dedup_odd(odd_docs, no_docs):
+    out = line_dedup.dedup_lines(odd_docs, min_chars=3, min_docs=1)
+    rows = out.collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r.text == "" and r.n_lines == 1 for r in rows if r.doc_id == 2)
+    assert "source" in out.columns and [c.lower() for c in out.columns].count("n_dropped") == 1
+    assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_line_dedup_keeps_largest_id_of_repeated_rows(spark):
+    line = "a line that is long enough to be counted as one"
+    rows = [(i, f"{line}\nown {i}") for i in range(6)] + [(5, f"{line.upper()}\nown again")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id == 5) == [(5, f"{line.upper()}\nown again"), (5, f"{line}\nown 5")]
+    assert all(r.text == f"own {r.doc_id}" for r in got if r.doc_id < 5)
+
+
+def test_quality_features_equal_brute_force(docs):
+    def brute(t):
+        w = words(t)
+        seen = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {i + j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+    samples = [r.text for r in docs.collect()] + [None, "", " ", "a a a a", "a b c a b c", "#x <y>\n#x <y>\n \n", "é é\x85é"]
+    for t in samples:
+        assert quality_rules.features(t)[:5] == brute(t)
+
+
+def test_quality_em_recovers_planted_accuracies():
+    rng = np.random.default_rng(1)
+    n, good = 20_000, rng.random(20_000) < 0.85
+    accuracy = [0.95, 0.9, 0.8]
+    votes = np.zeros((n, 4), int)
+    for j, a in enumerate(accuracy):
+        speak = rng.random(n) < 0.9
+        right = rng.random(n) < a
+        votes[:, j] = np.where(speak, np.where(right == good, 1, -1), 0)
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    share, given, post = quality_rules.estimate(patterns, counts.astype(float))
+    assert abs(share - 0.85) < 0.03
+    assert np.abs(np.array(quality_rules.accuracies(share, given))[:3] - accuracy).max() < 0.05
+    assert ((post[at.ravel()] >= 0.5) == good).mean() > 0.95
+
+
+def test_quality_verdicts_on_planted_junk(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    clean = [". ".join(" ".join(r.choice(vocab) for _ in range(9)).capitalize() for _ in range(12)) + "." for _ in range(200)]
+    symbols = [" ".join(r.choice(vocab) + r.choice(["###", "&&&", "$$$"]) for _ in range(120)) for _ in range(20)]
+    shouted = [" ".join(r.choice(vocab).upper() + "!!" for _ in range(120)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(clean + symbols + shouted + ["too short", None])]
+    got = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert not any(got[i].kept for i in range(200, len(rows)))
+    kept = quality_rules.keep_sound(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(200))
+
+
+def test_quality_odd(odd_docs, no_docs):
+    rows = quality_rules.judge(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and all(r.base_failed for r in rows if r.doc_id in (2, 3, 4, 7))
+    assert quality_rules.keep_sound(odd_docs).columns == odd_docs.columns
+    assert quality_rules.judge(no_docs).count() == 0 and quality_rules.keep_sound(no_docs).count() == 0
+
+
+def brute_fingerprint(t):
+    import xxhash
+
+    w = words(lower(t or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, fps, radius=4):
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: least[find(i)] for i, d in enumerate(ids)}
+
+
+def test_simhash_equals_brute_force(docs):
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    fps = [brute_fingerprint(t) for _, t in rows]
+    assert [got[d].fp & (2**64 - 1) for d, _ in rows] == fps
+    assert {d: got[d].component_id for d, _ in rows} == brute_components([d for d, _ in rows], fps)
+
+
+@pytest.mark.parametrize("spread", [0, 1, 2])
+def test_simhash_links_connect_what_brute_force_connects(spark, spread):
+    """Random and dense fingerprints, blocks so small that every value is cut into several."""
+    r = random.Random(spread)
+    base = [r.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 2 + spread))) for b in base for _ in range(12)} | {r.getrandbits(64) for _ in range(200)})
+    signed = [f - (f >> 63 << 64) for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    edges = [(x.a & (2**64 - 1), x.b & (2**64 - 1)) for x in simhash.links(df, block=8).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in edges)
+    want = brute_components(fps, fps)
+    roots = {f: f for f in fps} | {x.node & (2**64 - 1): x.root for x in simhash.components(simhash.links(df, block=8)).collect()}
+    groups = collections.defaultdict(set)
+    for f in fps:
+        groups[roots[f]].add(want[f])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_simhash_plan_is_complete():
+    """Thresholds that sum right find every pair, whatever the partitions."""
+    rng = np.random.default_rng(2)
+    bits = (rng.random((5000, 64)) < 0.5).astype(float)
+    for n in (1_000, 10**6, 10**10):
+        parts = simhash.plan(n, (bits.T @ bits) * n / 5000)
+        used = sorted(b for p, _ in parts for b in p)
+        assert len(used) == len(set(used))
+        assert sum(t + 1 for _, t in parts) >= 5
+
+
+def test_simhash_odd(odd_docs, no_docs):
+    rows = simhash.near_duplicates(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    assert {r.fp for r in rows if r.doc_id in (2, 3, 4)} == {0} and {r.component_id for r in rows if r.doc_id in (2, 3, 4)} == {2}
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(1) == 1 and ids.count(2) == 1 and 3 not in ids and ids.count(None) == 1
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+def test_licences(spark):
+    mit = license_scan.TEXTS["MIT"]
+    rows = [
+        (1, "MIT License text differs"), (2, f"Copyright (c) 2020 Somebody\n\n{mit.upper()}"), (3, mit.replace(",", " ;").replace("license", "licence")), (4, mit + " and more"),
+        (5, "before\n  RELEASED under the MIT licence!\nafter\nReleased under the MIT License."), (6, None), (7, ""), (7, ""), (8, "x Released under the MIT License."),
+    ]
+    got = sorted((tuple(r) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    by = {r[0]: r[1:] for r in got}
+    assert by[2] == ("MIT", 0, "MIT") and by[3] == ("MIT", 0, "MIT") and by[4][0] is None
+    assert by[5] == (None, 2, "MIT") and by[6] == by[7] == by[8] == (None, 0, "") and len(got) == 9
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licences_odd(odd_docs):
+    assert license_scan.scan(odd_docs).count() == odd_docs.count()
+
+
+def test_secrets_positions_and_accuracy(spark):
+    made = secret_scan.made_findings(600, seed=77)  # other findings than those it is trained on
+    rows = [(i, b + c + a, p) for i, (b, c, a, p, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.defaultdict(list)
+    for r in secret_scan.scan(df).collect():
+        assert rows[r.doc_id][1][r.start : r.start + r.length] == r.candidate
+        got[r.doc_id].append(r)
+    truth = {i: (c, y) for i, (_, c, _, _, y) in enumerate(made)}
+    right = total = 0
+    for i, (c, y) in truth.items():
+        for r in got[i]:
+            if r.candidate in c or c in r.candidate:
+                total += 1
+                right += r.is_secret == bool(y)
+    assert total > 500 and right / total > 0.95
+
+
+def test_secret_candidates_equal_brute_force(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcXYZ019+/=_-. \n\"'") for _ in range(400)) for _ in range(40)] + ["", None, "a" * 15 + "1", "a" * 16, "1" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for x in secret_scan.candidates(df, path_col=None).collect():
+        got[x.doc_id].append((x.start, x.candidate, x.before, x.after))
+    for i, t in enumerate(texts):
+        found = [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/=_.-]+", t or "") if len(m[0]) >= 16 and re.search("[0-9]", m[0])]
+        assert [(s, c) for s, c, _, _ in sorted(got[i])] == found
+
+
+def test_secrets_odd(odd_docs, no_docs):
+    assert secret_scan.scan(odd_docs).filter("doc_id IN (2, 3, 4)").count() == 0
+    assert secret_scan.scan(no_docs).count() == 0
+
+
+def test_secrets_redacted(spark):
+    token = hashlib.sha1(b"x").hexdigest()
+    df = spark.createDataFrame([(1, f'token = "{token}" end', "src"), (2, "nothing", "src"), (3, None, None)], "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in secret_scan.redact(df, secret_scan.scan(df)).collect()}
+    assert out == {1: 'token = "[SECRET]" end', 2: "nothing", 3: None}
