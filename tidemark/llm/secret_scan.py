@@ -42,7 +42,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, start, candidate, before, after, path: a row for each candidate."""
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("ss_text"), path.alias("path"))
-    found = rows.filter(F.col("ss_text").rlike(CANDIDATE)).select("doc_id", "path", F.regexp_extract_all("ss_text", F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split("ss_text", CANDIDATE, -1).alias("gaps"))
+    both = F.struct(F.regexp_extract_all("ss_text", F.lit(CANDIDATE), F.lit(0)).alias("hits"), F.split("ss_text", CANDIDATE, -1).alias("gaps"))
+    # The generator keeps the two arrays as columns; else every use below would match the text again, inside the lambdas for each candidate.
+    found = rows.filter(F.col("ss_text").rlike(CANDIDATE)).select("doc_id", "path", F.explode(F.array(both)).alias("b")).select("doc_id", "path", "b.hits", "b.gaps")
     # The k-th candidate stands between the k-th and the next gap.
     sums = F.aggregate(
         F.sequence(F.lit(0), F.size("hits") - 1), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("all")),
