@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, text_or_empty
+from .common import WHITE, ascii_lower, checkpointed, text_or_empty
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -48,7 +48,8 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text that is left, and n_lines and n_dropped (columns of these names are replaced)."""
-    shared = shared_lines(docs, id_col, text_col, min_chars, min_docs)
+    # Cut off from its aggregation, so that the join below may broadcast it if it turns out small, or split a hot key.
+    shared = checkpointed(shared_lines(docs, id_col, text_col, min_chars, min_docs))
     drops = (
         _numbered(docs, id_col, text_col, min_chars)
         .join(shared, ["ld_a", "ld_b"])
