@@ -27,7 +27,7 @@ from .common import WORD, checkpointed, read, text_or_empty
 WEIGHTS = (5, 2, 1)
 EPOCHS, MAX_REPEAT, SEED = 1.5, 2, "mix"
 #: The hash has LEVELS * BITS bits; each level's histogram has at most 2**BITS rows a source.
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 5, 12
 #: One row a source; beyond so many, the join by source shuffles (adaptive execution splits hot sources).
 MAX_BROADCAST_SOURCES = 200_000
 
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rows = docs.select(F.struct(*[own(c) for c in docs.columns]).alias("mx_in"), own(source_col).cast("string").alias("mx_source"), hash60(own(id_col)).alias("mx_hash"))
     else:
         rows = sized
-    copies = (F.col("mx_times") + F.when(F.col("mx_hash") < F.col("mx_limit"), 1).otherwise(0)).cast("long")
+    # Only an empty document can be below the limit of a source whose target is its cap.
+    copies = F.least(F.col("mx_times") + F.when(F.col("mx_hash") < F.col("mx_limit"), 1).otherwise(0), F.lit(max_repeat)).cast("long")
     joined = rows.join(plan, F.col("mx_source").eqNullSafe(F.col("g_source")))
     if keep_text:
         return joined.select(*[F.col(f"mx_in.`{c}`").alias(c) for c in docs.columns if c.lower() != "copies"], copies.alias("copies"))
