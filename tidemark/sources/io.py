@@ -35,17 +35,40 @@ def lines(spark: SparkSession, path: str, out: str = "id") -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias(out)).filter(F.length(out) > 0).distinct()
 
 
-def texts(spark: SparkSession, folder: str, pattern: str = "*.{vtt,srt,txt,empty}") -> DataFrame:
+def listing(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> list[tuple[str, int]]:
+    """Path and length of all files below folder with one of the suffixes, on the driver as every listing is.
+
+    Spark's own listing leaves out empty files and names that begin with _, which both occur among transcripts.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, out = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        if (path := f.getPath().toString()).rsplit(".", 1)[-1] in suffixes:
+            out.append((path, int(f.getLen())))
+    return sorted(out)
+
+
+def _file_id(path: str) -> str:
+    return path.rsplit("/", 1)[-1].lstrip("_").split(".", 1)[0]
+
+
+def texts(spark: SparkSession, folder: str, suffixes: Sequence[str] = ("vtt", "srt", "txt", "empty")) -> DataFrame:
     """id, path, text of all files below folder: the id is the name without leading _ up to the first dot; of several files the last path counts."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    one = raw.select("path", F.regexp_extract("path", r"/_*([^/._][^/.]*)\.[^/]*$", 1).alias("id"), F.decode("content", F.lit("UTF-8")).alias("text"))
-    return one.filter(F.length("id") > 0).groupBy("id").agg(F.max_by(F.struct("path", "text"), "path").alias("m")).select("id", "m.path", "m.text")
+    chosen = {_file_id(path): (path, n) for path, n in listing(spark, folder, suffixes)}
+    rows = spark.createDataFrame([(i, path, n) for i, (path, n) in chosen.items() if i], "id string, path string, io_n long")
+    full = [path for i, (path, n) in chosen.items() if i and n]
+    empty = rows.filter("io_n = 0").select("id", "path", F.lit("").alias("text"))
+    if not full:
+        return empty
+    raw = spark.read.format("binaryFile").load(full).select(F.col("path").alias("io_path"), F.decode("content", "UTF-8").alias("text"))
+    return rows.join(raw, F.col("path") == F.col("io_path")).select("id", "path", "text").union(empty)
 
 
 def markers(spark: SparkSession, folder: str, suffixes: Sequence[str] = ("vtt", "empty", "failed")) -> DataFrame:
     """id, kind of marker files; only names are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(folder)
-    return raw.select(F.regexp_extract("path", r"/([^/.]+)\.[^/]*$", 1).alias("id"), F.regexp_extract("path", r"\.([^/.]+)$", 1).alias("kind")).distinct()
+    rows = {(_file_id(path), path.rsplit(".", 1)[-1]) for path, _ in listing(spark, folder, suffixes)}
+    return spark.createDataFrame(sorted(rows), "id string, kind string")
 
 
 def excel(spark: SparkSession, path: str, required: Sequence[str], sheet: int | str = 0) -> DataFrame:
