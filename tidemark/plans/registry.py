@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, dynamic, era, rcedtg, reports
+from . import content, dynamic, era, rcedtg, reports, selection
 
-MODULES = (era, dynamic, rcedtg, content, reports)
+MODULES = (era, dynamic, rcedtg, content, selection, reports)
 
 
 def queries() -> dict:
