@@ -100,10 +100,10 @@ def test_vector_search_recall(spark, shape):
 
 def test_vector_search_odd(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (40, [0.0, 0.0]), (8, [])]
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (40, [0.0, 0.0]), (8, []), (None, [9.0, 9.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in vector_tree.search(df, lambda c: c % 20 == 0).collect())
-    assert got == [(0, 1, 7, 2.0), (0, 2, 7, 2.0), (0, 3, 20, 0.0), (20, 1, 7, 2.0), (20, 2, 7, 2.0), (20, 3, 0, 0.0)]
+    assert got == [(0, 1, 7, 2.0), (0, 2, 7, 2.0), (0, 3, 20, 0.0), (20, 1, 7, 2.0), (20, 2, 7, 2.0), (20, 3, 0, 0.0), (20, 4, 0, 0.0)]
     assert vector_tree.search(df.limit(0), lambda c: c % 20 == 0).count() == 0
     assert vector_tree.search(df.filter("vec_id = 2"), lambda c: c % 20 == 0).count() == 0
 

@@ -13,7 +13,8 @@ costs many small groups, not a large one. Scores are sums in double precision ov
 order, so equal vectors score equally, and ties go to the smaller id.
 
 Defined cases: vectors that are null or zero, hold null or non-finite numbers, or differ in length from most of the fit's sample take
-no part, as query or as candidate. Rows that repeat an id are candidates each; a query never meets rows of its own id.
+no part, as query or as candidate, and neither do rows without id. Rows that repeat an id are candidates each; as a query an id asks
+once, with the smallest of its vectors, and never meets rows of its own id.
 With fewer candidates than k all are returned. An empty table gives an empty result.
 """
 
@@ -39,7 +40,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vec (array<double>): the rows that take part, but for their length."""
     v = F.col(f"`{vec_col}`").cast("array<double>")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(v.isNotNull()).filter(fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vec"))
+    return vectors.filter(F.col(f"`{id_col}`").isNotNull() & v.isNotNull()).filter(fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("vec"))
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf, pa.int32())], names=["id", "vec", "leaf"])
 
     index = checkpointed(rows.mapInArrow(place, "id long, vec array<double>, leaf int"))
-    queries = index.filter(is_query(F.col("id"))).select(F.col("id").alias("q"), F.col("vec").alias("qvec"))
+    queries = index.filter(is_query(F.col("id"))).groupBy(F.col("id").alias("q")).agg(F.min("vec").alias("qvec"))
     visits = _calibrate(index, queries, tree, k, recall)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
