@@ -2,8 +2,8 @@
 
 A BPE tokenizer first cuts a text by a pattern and merges within the cuts only. A space between two
 characters that aren't white space is always such a cut, and so is the place between a letter or
-digit and a final "." or ",". So a text's ids are the ids of its words in a row, and a word that was
-met before need not be merged again. At most CACHE_WORDS words are kept
+digit and the ASCII signs that end a word, the apostrophe not among them. So a text's ids are the ids of its words in a row, and a word that was
+met before need not be merged again. The first CACHE_WORDS or so are kept
 from group to group, which bounds the memory and changes no result.
 """
 
@@ -13,9 +13,11 @@ import re
 from array import array
 from collections.abc import Iterable
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 2_000_000
+#: ASCII signs that are never part of a contraction.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: All letters below are in composed form, and all but U+0130 have one letter as their lower case.
 _LATIN = "\u0250"
@@ -72,35 +74,35 @@ class WordEncoder:
         return out
 
     def group(self, texts: list[str]) -> list[bytes]:
-        kept = self.kept
-        before = len(kept)
         cut = [t.split(" ") for t in texts]
         if self.spaced:
             for words in cut:  # only a first word has no space before it; no other begins with one, so a space marks it
                 words[0] = " " + words[0]
-        new = set().union(*cut).difference(kept)
+        met = set().union(*cut)
+        ids = dict(zip(met, map(self.kept.get, met)))  # of this group's words; None: not met before
+        new = [w for w, v in ids.items() if v is None]
         odd = {w for w in new if not w or w[-1].isspace() or w[w[0] == " "].isspace()} if self.spaced else set()
         if odd:  # white space beside a space may belong to one cut of the pattern: don't cut there
             for i, words in enumerate(cut):
                 if not odd.isdisjoint(words):
                     first, *rest = _CUT.split(texts[i])
                     cut[i] = [" " + first, *rest]
-            new = set().union(*cut).difference(kept)
-        stops = [w for w in new if len(w) > 2 and w[-1] in ".," and w[-2].lower()[-1].isalnum()]
-        bare = list(new.difference(stops).union([w[:-1] for w in stops]).difference(kept))
-        kept.update(zip(bare, self.encode(bare)))
-        if stops:
-            end = dict(zip(".,", self.encode([" .", " ,"] if self.spaced else [".", ","])))
-            kept.update([(w, kept[w[:-1]] + end[w[-1]]) for w in stops])
-        look = kept.__getitem__
-        out = [b"".join(map(look, words)) for words in cut]
-        if len(kept) > CACHE_WORDS:
-            for w in [*kept][max(before, CACHE_WORDS * 9 // 10) :]:
-                del kept[w]
-        if odd:
-            for w in [w for w in new if w in kept and (w[-1:].isspace() or w[1:2].isspace())]:
-                del kept[w]
-        return out
+                    new += [w for w in cut[i] if w not in ids]
+                    ids.update(dict.fromkeys([w for w in cut[i] if w not in ids]))
+            new = list(dict.fromkeys(new))
+        ends = [(w, w.rstrip(_SIGNS)) for w in new if w and w[-1] in _SIGNS]
+        ends = [(w, head) for w, head in ends if head and head[-1].lower()[-1].isalnum()]
+        bare = set(new).difference([w for w, _ in ends])
+        bare.update([head for _, head in ends if ids.get(head) is None])
+        bare = list(bare)
+        ids.update(zip(bare, self.encode(bare)))
+        if ends:
+            tails = list({w[len(head) :] for w, head in ends})
+            tail = dict(zip(tails, self.encode([" " + t for t in tails] if self.spaced else tails)))
+            ids.update([(w, ids[head] + tail[w[len(head) :]]) for w, head in ends])
+        if len(self.kept) < CACHE_WORDS:
+            self.kept.update((w, ids[w]) for w in new if w not in odd and not (w[-1:].isspace() or w[1:2].isspace()))
+        return [b"".join(map(ids.__getitem__, words)) for words in cut]
 
 
 def encoder(name: str, spaced: bool) -> WordEncoder:
