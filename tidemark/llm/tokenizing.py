@@ -13,9 +13,9 @@ import re
 from array import array
 from collections.abc import Iterable
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 #: ASCII signs that are never part of a contraction.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
