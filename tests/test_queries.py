@@ -5,6 +5,7 @@ import importlib
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.plans import registry
@@ -25,7 +26,7 @@ def same(got, want):
     cols = sorted(want.columns)
 
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__module__ == "numpy" and v.dtype.kind in "iuf" else str(v)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ LINKS = [rf"(?:https?://)?(?:www\.)?youtube\.com/watch\?v={ID11}", rf"(?:https?:
 WHITE = "[ \\t\\n\\r\\f\\x0b]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, even if body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
@@ -85,9 +91,8 @@ def token_estimate(text: Column) -> Column:
 
 def chunks(text: Column, size: int = 1440, overlap: int = 120) -> Column:
     """Array of chunks of `size` words that start every size - overlap words; a blank text has none."""
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size - overlap)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size - overlap))
+    return let(words(text), lambda w: F.when(F.size(w) > 0, F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, size), " "))))
 
 
 def links(text: Column, own: Column | None = None) -> Column:

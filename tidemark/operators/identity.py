@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def clean_name(c: Column) -> Column:
     """Lower case without emoji, white space one space."""
@@ -53,7 +55,7 @@ def fuzzy_matches(a: DataFrame, b: DataFrame, name: str = "name", threshold: flo
     n = F.length("x")
     # Pairs of neighbours, the ends included, each with the number of its earlier occurrences: sets, not bags.
     two = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(F.concat(F.lit("\x02"), F.col(c), F.lit("\x03")), i, F.lit(2)))
-    numbered = lambda c: F.transform(two(c), lambda g, i: F.concat(g, F.size(F.filter(F.slice(two(c), 1, i), lambda h: h == g)).cast("string")))
+    numbered = lambda c: let(two(c), lambda gs: F.transform(gs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(gs, 1, i), lambda h: h == g)).cast("string"))))
     gy = y.select("b_id", "y", F.explode(numbered("y")).alias("h"))
     known = gy.groupBy(F.col("h").alias("k")).agg(F.count(F.lit(1)).alias("df"))
     gx = rest.select("a_id", "x", F.explode(numbered("x")).alias("g")).join(known, F.col("g") == F.col("k"), "left").withColumn("df", F.coalesce("df", F.lit(0)))

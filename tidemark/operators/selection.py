@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def on_platforms(df: DataFrame, names: Sequence[str], platform: str = "platform") -> DataFrame:
     return df.filter(F.lower(F.col(platform)).isin(*[n.lower() for n in names]))
@@ -58,9 +60,8 @@ def era_order(df: DataFrame, era: str, start: str) -> DataFrame:
 
 def evenly_spaced(items: Column, k: int) -> Column:
     """k elements of an array at even distances, the ends included; all if there are no more."""
-    n = F.size(items)
-    at = lambda i: F.bround(i * (n - 1) / F.lit(max(k - 1, 1)), 0).cast("int")
-    return F.when(n <= k, items).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(items, at(i))))
+    at = lambda i, n: F.bround(i * (n - 1) / F.lit(max(k - 1, 1)), 0).cast("int")
+    return let(items, lambda xs: F.when(F.size(xs) <= k, xs).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(xs, at(i, F.size(xs))))))
 
 
 def unified(platforms: Mapping[str, tuple[DataFrame, Mapping[str, str]]]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -31,9 +33,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def truncated(v: Column, dims: int) -> Column:
     """The first dims coordinates, brought to length 1 again."""
-    head = F.slice(v, 1, dims)
-    size = F.sqrt(dot(head, head))
-    return F.transform(head, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    unit = lambda h, size: F.transform(h, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    return let(F.slice(v, 1, dims), lambda h: F.get(F.transform(F.array(F.sqrt(dot(h, h))), lambda size: unit(h, size)), F.lit(0)))
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str, vec_col: str) -> DataFrame:
