@@ -187,7 +187,7 @@ def exact_name_match(spark, d):
 
 def fuzzy_name_match(spark, d):
     """Names of goods with their brand against the same with a letter less."""
-    p = table(spark, d, "part").filter("p_partkey < 400").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("n"))
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("n"))
     a = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lower("n").alias("name"))
     b = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.lower("n"), "a", "").alias("name"))
     return rounded(identity.fuzzy_matches(a, b))
