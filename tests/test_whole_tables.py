@@ -1,5 +1,6 @@
 """Registered queries read whole tables and whole texts."""
 
+import hashlib
 import random
 
 from tidemark.operators import identity
@@ -26,3 +27,12 @@ def test_fuzzy_name_match_takes_every_part(spark, tmp_path):
                 want[i] = (-j, round(s, 4))
     got = {x.a_id: (x.b_id, round(x.score, 4)) for x in registry.queries()["fuzzy_name_match"](spark, d).collect()}
     assert got == want and max(got) > 460 and max(j for j, _ in got.values()) >= 400
+
+
+def test_social_clean_takes_whole_texts(spark, tmp_path):
+    head = "plain words without any marks " * 4
+    d = stored(spark, tmp_path, "documents", [(1, head + "@ann  looove #pizza http://x.y"), (2, head + "nothing here"), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: x.cleaned_md5 for x in registry.queries()["social_clean"](spark, d).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    start = "see [URL] tag " + head
+    assert got == {1: md5(start + "[UTENTE] loove pizza [URL]"), 2: md5(start + "nothing here"), 3: None}

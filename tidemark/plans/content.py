@@ -113,7 +113,7 @@ def transcript_clean(spark, d):
 
 
 def social_clean(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(T.social_clean(F.concat(F.lit("seeee http://a.b/c #tag "), F.substring("text", 1, 60)))).alias("cleaned_md5"))
+    return docs(spark, d).select("doc_id", F.md5(T.social_clean(F.concat(F.lit("seeee http://a.b/c #tag "), F.col("text")))).alias("cleaned_md5"))
 
 
 _VID = "concat('vid', lpad(page_id::VARCHAR, 8, '0'))"
