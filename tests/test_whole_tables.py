@@ -36,3 +36,18 @@ def test_social_clean_takes_whole_texts(spark, tmp_path):
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     start = "see [URL] tag " + head
     assert got == {1: md5(start + "[UTENTE] loove pizza [URL]"), 2: md5(start + "nothing here"), 3: None}
+
+
+def test_emoji_word_counts_takes_whole_texts(spark, tmp_path):
+    head, grin, joy = "plain words without any marks " * 4, "\U0001f600", "\U0001f602"
+    texts = {1: head, 2: head + grin + joy, 3: grin + " a " + head + grin + grin + joy + grin + "b " + joy, 4: ""}
+    d = stored(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+
+    def brute(text):  # neighbours that differ count again in one count, and don't in the other
+        extra = 0
+        for chunk in text.split():
+            extra += sum(p in (grin, joy) and q in (grin, joy) and p != q for p, q in zip(chunk, chunk[1:]))
+        return extra, sum(ch in (grin, joy) for ch in text)
+
+    got = {x.doc_id: (x.extra, x.units) for x in registry.queries()["emoji_word_counts"](spark, d).collect()}
+    assert got == {i: brute(f"{t} {grin}{grin}{joy} ok") for i, t in texts.items()} and got[3] == (3, 9)

@@ -46,8 +46,8 @@ def comment_features(spark, d):
 
 
 def emoji_word_counts(spark, d):
-    """The texts hold no emoji, so words alone are counted; edge cases are in the tests."""
-    t = F.concat(F.substring("text", 1, 40), F.lit(" \U0001f600\U0001f600\U0001f602 ok"))
+    """The whole text and a tail with emoji. The SQL holds for texts without emoji; others are in the tests."""
+    t = F.concat(F.col("text"), F.lit(" \U0001f600\U0001f600\U0001f602 ok"))
     return docs(spark, d).select("doc_id", (emoji.word_count(t) - emoji.word_count_runs(t)).alias("extra"), F.size(emoji.emoji_units(t)).alias("units"))
 
 
