@@ -7,11 +7,14 @@ licences by a hash join; equal digest, same licence. What is looked up is a whol
 
 The table of known texts is a parameter (name, kind, text) of at most MAX_KNOWN rows, so it is broadcast; a larger one is
 joined by shuffle. Defined cases: null and empty texts match nothing; rows that repeat an id give a row
-each; ``notices`` counts every matching line.
+each; ``notices`` counts every matching line. A copyright line without a year goes if it has a (c) or ©; without either it
+may be part of a sentence and stays.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,26 +60,48 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 }
 
 
+#: The titles that stand before the short texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"], "Unlicense": ["The Unlicense", "Unlicense"],
+}
+_NO_ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """name, text: whole licences, with and without title, "All rights reserved." and what follows the end of the terms."""
+    stored = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+    short = TEXTS | {"BSD-3-Clause": TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS", _NO_ENDORSEMENT + "THIS SOFTWARE IS"), "Unlicense": stored["Unlicense"]}
+    out = list(TEXTS.items()) + list(stored.items())
+    end = "END OF TERMS AND CONDITIONS"
+    out += [(n, t[: t.index(end) + at]) for n, t in stored.items() if end in t for at in (0, len(end))]
+    return out + [(n, f"{title}\n{rights}\n{t}") for n, t in short.items() for title in ["", *TITLES[n]] for rights in ("", "All rights reserved.")]
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    rows = [(n, "text", t) for n, t in TEXTS.items()] + [(n, "notice", t) for n, ts in NOTICES.items() for t in ts]
+    rows = [(n, "text", t) for n, t in full_texts()] + [(n, "notice", t) for n, ts in NOTICES.items() for t in ts]
     return spark.createDataFrame(rows, "name string, kind string, text string")
 
 
 #: A line of which nothing but a copyright claim is left.
 _CLAIM = r"(?m)^[^a-z0-9\n]*(?:copyright(?: \(c\))?|\(c\))[^a-z0-9\n]*[0-9]{4}[^\n]*$"
+#: One without a year.
+_CLAIM_NO_YEAR = r"(?m)^[^a-z0-9\n]*copyright *(?:\(c\)|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """Equal for texts that differ in case, punctuation, copyright lines and spelling."""
     c = F.regexp_replace(ascii_lower(text_or_empty(text)), _CLAIM, "")
+    c = F.regexp_replace(c, _CLAIM_NO_YEAR, "")
     c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(c)
 
 
-#: Every text of known_licences() has one of these words, so no other unit can match it.
-HINT = r"(?i)licen[cs]e|permission|redistribut|public domain|released under"
+#: Every text of known_licences() has one of these in canonical form, so no other unit can match it, whatever stands between the words.
+HINT = r"(?i)licen[cs]e|permission|redistribut|public[^\p{L}\p{N}]+domain|released[^\p{L}\p{N}]+under"
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", hint: str | None = None) -> DataFrame:
