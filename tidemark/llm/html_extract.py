@@ -222,16 +222,16 @@ def extract(page: str | None) -> str:
             share, up = (0.5 if level == 1 else 1 / (level * 3)), up.parent
     value = lambda x: x.score * (1 - x.linked / max(x.chars, 1)) * (1.5 if x.tag in MAIN else 1)
     mains = [x for x in _nodes(root) if x.tag in MAIN and id(x) in spans and spans[id(x)][0] < spans[id(x)][1]]
-    best = max(mains or scored.values(), key=lambda x: (value(x), x.chars), default=root)
-    if not mains and value(best) <= 0:
-        best = root
+    best = max(scored.values(), key=lambda x: (value(x), x.chars), default=root)
+    if value(best) <= 0:
+        best = max(mains, key=lambda x: (value(x), x.chars), default=root)
     up = best
     while up is not None:
         if up.tag in MAIN:
             best = up
         up = up.parent
     keep = [spans[id(best)]]
-    if best.tag not in MAIN and best.parent is not None:
+    if best.parent is not None:
         least = 0.2 * value(best)
         for kid in best.parent.kids:
             if isinstance(kid, Node) and kid is not best and not kid.struck and id(kid) in spans:
