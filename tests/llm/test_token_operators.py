@@ -18,7 +18,6 @@ def plain(texts, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizing.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -30,9 +29,30 @@ def test_words_make_the_same_ids_as_whole_texts(name, spaced):
     assert list(tokenizing.encode_texts(texts, name, spaced)) == plain(texts, name)
 
 
+@pytest.mark.parametrize("name,spaced", RULES)
+def test_runs_of_white_space_and_special_strings(name, spaced):
+    from tokenizers import Tokenizer
+
+    r = random.Random(7)
+    bits = ["word", "Ab", "é", " ", "\n", "\n\n", " \n", "  ", "\r\n", ". ", ",", " x", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\t", "9", "'s "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(5000)]
+    assert list(tokenizing.encode_texts(texts, name, spaced)) == plain(texts, name)
+    t = Tokenizer.from_file(tokenizing.tokenizer_path(name))
+    t.encode_special_tokens = True
+    assert list(tokenizing.encode_texts(texts, name, spaced, special_as_text=True)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name,spaced", RULES)
+def test_long_texts_are_cut_between_words(name, spaced, monkeypatch):
+    monkeypatch.setattr(tokenizing, "GROUP_BYTES", 500)
+    r = random.Random(8)
+    texts = ["".join(r.choice(["word", " ", " and", "\n", "é ", ". ", "x" * 700]) for _ in range(2000)) for _ in range(5)] + ["z" * 5000]
+    assert list(tokenizing.encode_texts(texts, name, spaced)) == plain(texts, name)
+
+
 def test_words_are_dropped_from_the_cache_without_effect(monkeypatch):
     monkeypatch.setattr(tokenizing, "CACHE_WORDS", 50)
-    monkeypatch.setattr(tokenizing, "GROUP_CHARS", 200)
+    monkeypatch.setattr(tokenizing, "GROUP_BYTES", 200)
     monkeypatch.setattr(tokenizing, "_loaded", {})
     r = random.Random(2)
     texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 5))) + r.choice(["", ".", ",\n"]) for _ in range(60)) for _ in range(60)]

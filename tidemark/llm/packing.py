@@ -9,7 +9,8 @@ are dealt to shards by a hash of their place in a checkpointed table, so repeate
 sequence_id is the shard times 2**32 plus the window's number in it.
 
 Defined cases: a null text is empty, and an empty text still has its end id. Rows that repeat a
-doc_id are packed each by itself. An empty table gives an empty result.
+doc_id are packed each by itself. An empty table gives an empty result. The string of a special token in a text becomes
+that token's id, as by the library's default; with special_as_text it is ordinary text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WINDOW, END_ID, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 SHARD_WINDOWS, SHARD_PIECES = 2048, 100_000
 
 
-def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Full windows and the rest of each document: doc_id, start, length, ids_crc32, doc_tokens (and ids, little-endian)."""
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if with_ids else 5]
@@ -38,7 +39,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), tokenizer, spaced=False)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1), tokenizer, spaced=False, special_as_text=special_as_text)):
                 ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]

@@ -14,7 +14,8 @@ A reader seeks by the index and holds one block at a time. Files go to a folder
 under a name of the task's own and then renamed, so a task that is run again replaces its own file.
 
 Defined cases: a null text is empty; an empty text has its end id alone. Rows without doc_id come
-first; rows of the same doc_id are ordered by their text's hash. An empty table makes no file.
+first; rows of the same doc_id are ordered by their text's hash. An empty table makes no file. The string of a special token in
+a text becomes that token's id, as by the library's default; with special_as_text it is ordinary text.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def file_system(uri: str):
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
-def write_planes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, block: int = BLOCK, kind: str = "byte") -> list[tuple[int, str, int, int]]:
+def write_planes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, block: int = BLOCK, kind: str = "byte", special_as_text: bool = False) -> list[tuple[int, str, int, int]]:
     """Write the files; per file its part, name, documents and ids, in order. One row comes back a file, so as many as partitions."""
     end, token = end_id.to_bytes(4, "little"), uuid.uuid4().hex[:8]
     text = text_or_empty(f"`{text_col}`")
@@ -154,7 +155,7 @@ def write_planes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         name, own = f"{at}/part-{part:06d}.tpl", f"{at}/.{part:06d}-{token}-{TaskContext.get().taskAttemptId()}"
         out = writer = None
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), tokenizer, spaced=True)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1), tokenizer, spaced=True, special_as_text=special_as_text)):
                 if writer is None:
                     fs.create_dir(at, recursive=True)
                     out = fs.open_output_stream(own)
