@@ -25,7 +25,7 @@ from .common import checkpointed, read
 
 MIN_WORDS, MAX_REPEAT_SHARE, THRESHOLD = 50, 0.5, 0.5
 SYMBOLS = b"#*$%&|<>"
-_CAPS = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z][^\x20\x09-\x0Da-z]*[A-Z][^\x20\x09-\x0Da-z]*(?![^\x20\x09-\x0D])")
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _STOP = re.compile(rb"[.!?:;\"')\]](?=[\x20\x09-\x0D]*(?:\n|$))")
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_stops", "n_marks", "n_distinct", "n_adjacent"]
@@ -65,9 +65,11 @@ def features(text: str | None) -> tuple[int, ...]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     code: dict[bytes, int] = {}
     codes = np.fromiter([code.setdefault(w, len(code)) for w in words], np.int64, n)
+    # Words in capitals: no a-z, and two or more of A-Z.
+    capitals = np.fromiter([w.isupper() and len(w) - len(w.translate(None, _CAPITALS)) > 1 for w in code], bool, len(code))
     return (
         n, len(text) - white, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(codes), len(lines),
-        len(_CAPS.findall(raw)), len(_STOP.findall(raw)), raw.count(b"!") + raw.count(b"?"), len(code), int((codes[1:] == codes[:-1]).sum()),
+        int(capitals[codes].sum()), len(_STOP.findall(raw)), raw.count(b"!") + raw.count(b"?"), len(code), int((codes[1:] == codes[:-1]).sum()),
     )
 
 
