@@ -26,10 +26,13 @@ def text_or_empty(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local session may go without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"/tmp/{sc.applicationId}")
     return sc.getCheckpointDir()
 
 
