@@ -289,3 +289,51 @@ def test_media_and_user_features(spark):
     assert m["n"].mean_word_count == 0
     u = {r.author_id: r for r in features.user_matrix(df).collect()}
     assert u["a"].total_comments == 2 and u["a"].post_concentration_ratio == 0.5 and u["a"].link_inclusion_rate == 50
+
+
+def test_selection_guards(spark):
+    from tidemark.operators import selection
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    b = spark.createDataFrame([(1, "p"), (1, "q")], "k long, w string")
+    with pytest.raises(ValueError, match="right side has 2 rows for 1"):
+        selection.one_to_one(a, b, ["k"])
+    rows = spark.createDataFrame([(None, 3), (None, 1), (1, 5), (1, 4)], "k long, v long")
+    assert sorted(map(tuple, selection.prefer(rows, "k", [F.col("v")]).collect()), key=str) == [(1, 4), (None, 1)]
+    urls = spark.createDataFrame([("http://x/abc12/1",), ("http://x/zz",), (None,)], "url string")
+    names = spark.createDataFrame([("abc1",), ("c12",), ("",), (None,)], "name string")
+    assert {r.url: r.folder for r in selection.match_folders(urls, names).collect()} == {"http://x/abc12/1": "abc1", "http://x/zz": None, None: None}
+
+
+def test_quantiles_equal_exact_ones_on_skewed_values(spark):
+    import numpy as np
+
+    from tidemark.operators import quality
+
+    r = np.random.default_rng(3)
+    v = np.concatenate([np.zeros(500), r.lognormal(0, 5, 1500), [1e12]])
+    df = spark.createDataFrame([(float(x), i % 2) for i, x in enumerate(v)] + [(None, 0)], "v double, g int")
+    at = {"a": 0.0, "b": 0.33, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = quality.quantiles(df, "v", at).first()
+    assert np.allclose([got[k] for k in at], np.quantile(v, list(at.values())))
+    for row in quality.quantiles(df, "v", at, ["g"]).collect():
+        assert np.allclose([row[k] for k in at], np.quantile(v[row["g"] :: 2], list(at.values())))
+    e = quality.ecdf(df, "v").orderBy("value").collect()
+    assert e[0]["cumulative"] == 500 and e[-1]["share"] == 1 and [x["cumulative"] for x in e] == sorted(x["cumulative"] for x in e)
+
+
+def test_topic_vectors_stop_on_empty_vectors(spark):
+    from tidemark.operators import similarity
+
+    w = spark.createDataFrame([("a", "t", 0.0), ("b", "t", 1.0)], "o string, t string, w double")
+    assert {(r.o, r.share) for r in similarity.topic_vectors(w, "o", "t", "w", ["t"]).collect()} == {("a", None), ("b", 1.0)}
+    with pytest.raises(Exception, match="no weight at all"):
+        similarity.topic_vectors(w, "o", "t", "w", ["t"], strict=True).collect()
+
+
+def test_kmeans_of_several_starts(spark):
+    from tidemark.operators import clusters
+
+    df = spark.createDataFrame([(float(i % 3) * 10 + 0.1 * (i % 2), float(i % 3)) for i in range(60)], "x double, y double")
+    got = clusters.kmeans(df, ["x", "y"], 3, starts=3, labels={1: 7}).groupBy("cluster").count().collect()
+    assert {(r.cluster, r["count"]) for r in got} == {(7, 20), (2, 20), (3, 20)}

@@ -11,7 +11,7 @@ from tidemark.streaming import windows
 def test_csv_with_quotes_and_line_ends(spark, tmp_path):
     df = spark.createDataFrame([("1", 'say "hi",\nyou'), ("2", None)], "id string, text string")
     io.write_csv(df, f"{tmp_path}/c", single=True)
-    assert sorted(map(tuple, io.csv(spark, f"{tmp_path}/c", "id string, text string").collect())) == [("1", 'say "hi",\nyou'), ("2", None)]
+    assert sorted(map(tuple, io.csv(spark, f"{tmp_path}/c", "id string, text string", multi_line=True).collect())) == [("1", 'say "hi",\nyou'), ("2", None)]
     assert io.csv_if_present(spark, f"{tmp_path}/c", ["text", "nope"]).columns == ["text"]
 
 
@@ -68,3 +68,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.window_start, r.user_id): (r.comment_count, round(r.mean_value, 9)) for r in spark.table("sliding").collect()}
     assert got == {(r.window_start, r.user_id): (r.comment_count, round(r.mean_value, 9)) for r in windows.sliding_counts(ev).collect()}
+
+
+def test_transcripts_with_hidden_names_and_batches_that_resume(spark, tmp_path):
+    for n, t in (("_a.en.vtt", "one"), ("b.txt", "two"), ("_c.en.empty", ""), ("d.en.md", "no")):
+        (tmp_path / n).write_text(t)
+    assert sorted((r.id, r.text) for r in io.texts(spark, str(tmp_path)).collect()) == [("a", "one"), ("b", "two"), ("c", "")]
+    from pyspark.sql import functions as F
+
+    df = spark.range(50)
+    assert io.write_in_batches(df, f"{tmp_path}/out", F.col("id"), 3).count() == 50
+    kept = io.write_in_batches(df.filter("id < 0"), f"{tmp_path}/out", F.col("id"), 3)  # all batches are complete, so none is done again
+    assert sorted(r.id for r in kept.select("id").collect()) == list(range(50))
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    import glob
+
+    io.write_csv(spark.createDataFrame([("1", "x")], "id string, text string"), f"{tmp_path}/c", single=True, bom=True)
+    (path,) = glob.glob(f"{tmp_path}/c/*.csv")
+    assert open(path, "rb").read() == "\ufeffid,text\n1,x\n".encode()

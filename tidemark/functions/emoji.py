@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pandas as pd
@@ -17,30 +18,60 @@ RANGES = (
     (0x25C0, 0x25C0), (0x25FB, 0x25FE), (0x2600, 0x27BF), (0x2934, 0x2935), (0x2B05, 0x2B07), (0x2B1B, 0x2B1C), (0x2B50, 0x2B50), (0x2B55, 0x2B55),
     (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3297), (0x3299, 0x3299), (0x1F000, 0x1FAFF),
 )
-_BASE = "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in RANGES)
-_EXTEND = "︎️⃣\U0001f3fb-\U0001f3ff"
-#: One unit: a keycap, a pair of flag letters, or a base with its modifiers and all that is joined to it.
-UNIT = re.compile(f"[0-9#*]️?⃣|[\U0001f1e6-\U0001f1ff]{{2}}|[{_BASE}][{_EXTEND}]*(?:‍.[{_EXTEND}]*)*|‍|[{_EXTEND}]")
+#: Joiner, keycap mark, selectors; skin tones; letters that make flags by two.
+JOINER, KEYCAP, SELECTORS = 0x200D, 0x20E3, (0xFE0E, 0xFE0F)
+TONES, FLAG_LETTERS = (0x1F3FB, 0x1F3FF), (0x1F1E6, 0x1F1FF)
+
+
+def _class(ranges) -> str:
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in ranges)
+
+
+def _marks() -> list[tuple[int, int]]:
+    """Runs of code points that combine with the one before them; none lies beyond the first two planes."""
+    out: list[tuple[int, int]] = []
+    for c in range(0x300, 0x20000):
+        if unicodedata.combining(chr(c)):
+            if out and out[-1][1] == c - 1:
+                out[-1] = (out[-1][0], c)
+            else:
+                out.append((c, c))
+    return out
+
+
+_LONE = [(JOINER, JOINER), (KEYCAP, KEYCAP), (SELECTORS[0], SELECTORS[1])]
+_KEYCAP = f"[0-9#*]{chr(SELECTORS[1])}?{chr(KEYCAP)}"
+_BASE = _class([r for r in RANGES if r != (0x1F000, 0x1FAFF)] + [(0x1F000, TONES[0] - 1), (TONES[1] + 1, 0x1FAFF)])
+_EXTEND = _class([*_marks(), (KEYCAP, KEYCAP), SELECTORS, TONES])
+#: Any emoji in a row, with stray connectors and tones: counts once.
+RUN = re.compile(f"(?:{_KEYCAP}|[{_class([*RANGES, *_LONE])}])+")
+#: One unit: a keycap, one or two flag letters, or a base with its modifiers and all that is joined to it. A connector or tone alone is none.
+UNIT = re.compile(f"{_KEYCAP}|[{_class([FLAG_LETTERS])}]{{1,2}}|[{_BASE}][{_EXTEND}]*(?:{chr(JOINER)}(?:.[{_EXTEND}]*)?)*", re.S)
 TOKEN = re.compile(r"https?://\S+|[#@]?\w+(?:[.'’_-]\w+)*")
 
 
 def count_words(text: str | None, runs: bool = False, token: re.Pattern = TOKEN) -> int:
-    """Words, and emoji: neighbours that are equal count once; with runs, any emoji in a row count once."""
-    total = 0
-    for chunk in (text or "").split():
-        at, last = 0, None
-        for m in UNIT.finditer(chunk):
-            if m.start() > at:
-                total += len(token.findall(chunk[at : m.start()]))
-                last = None
-            total += last is None if runs else m[0] != last
-            last, at = m[0], m.end()
-        total += len(token.findall(chunk[at:]))
-    return total
+    """Words, and emoji: units that follow each other and are equal count once; with runs, any emoji in a row count once."""
+    text, total, at, last = text or "", 0, 0, None
+    for m in (RUN if runs else UNIT).finditer(text):
+        if m.start() > at:
+            total += len(token.findall(text, at, m.start()))
+            last = None
+        total += m[0] != last
+        last, at = m[0], m.end()
+    return total + len(token.findall(text, at))
 
 
 def units(text: str | None) -> list[str]:
-    return [m[0] for m in UNIT.finditer(text or "") if m[0] != "‍"]
+    return UNIT.findall(text or "")
+
+
+def named(text: str | None) -> str | None:
+    """Each unit replaced by :its_name:, the names of its code points joined by _; selectors and joiners have none."""
+    if text is None:
+        return None
+    name = lambda c: unicodedata.name(c, f"u{ord(c):x}").lower().replace(" ", "_").replace("-", "_")
+    return UNIT.sub(lambda m: ":" + "_".join(name(c) for c in m[0] if ord(c) not in (JOINER, *SELECTORS)) + ":", text)
 
 
 def entropy(found: list[str]) -> float:
@@ -61,3 +92,14 @@ def word_count_runs(text: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StringType()))
 def emoji_units(text: pd.Series) -> pd.Series:
     return text.map(units, na_action="ignore").map(lambda u: u if isinstance(u, list) else [])
+
+
+@F.pandas_udf(StringType())
+def with_names(text: pd.Series) -> pd.Series:
+    return text.map(named, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC), which no built-in function makes."""
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -51,6 +51,20 @@ def emoji_features(found: Column, n_words: Column) -> dict[str, Column]:
     return {"emoji_count": n.cast("long"), "unique_emoji_count": F.size(kinds).cast("long"), "emoji_entropy": F.when(n > 0, ent).otherwise(0.0), "emoji_variety_ratio": F.when(n > 0, F.size(kinds) / n).otherwise(0.0), "emoji_per_word_ratio": F.when((n > 0) & (n_words > 0), n / n_words).otherwise(0.0)}
 
 
+#: What some emoji stand for.
+EMOJI_TAXONOMY = {
+    "love": ["❤️", "💕", "💖", "😍", "🥰", "💗", "💝", "💞", "👍", "💯"],
+    "celebration": ["🎉", "🎊", "🥳", "🎈", "✨", "⭐", "🌟", "🔥", "👏", "🙌"],
+    "humor": ["😂", "🤣", "😄", "😁", "😆", "🤪", "😜", "🤩", "😏", "💀"],
+    "inquiry": ["❓", "❔", "🤔", "🧐", "😕", "🤨", "💭", "🙄", "😐", "😒"],
+}
+
+
+def emoji_table() -> dict[str, str]:
+    """Each emoji's category."""
+    return {e: name for name, all_ in EMOJI_TAXONOMY.items() for e in all_}
+
+
 def categories(found: Column, table: dict[str, str], other: str = "other") -> Column:
     """Emoji units by category: a map of counts."""
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")
@@ -58,8 +72,16 @@ def categories(found: Column, table: dict[str, str], other: str = "other") -> Co
     return F.map_from_entries(F.transform(F.array_distinct(named), lambda k: F.struct(k, F.size(F.filter(named, lambda x: x == k)))))
 
 
+def composed(text: Column, emoji_names: bool = False) -> Column:
+    """Unicode's composed form, and with emoji_names each emoji as :its_name:. Both go through Python in Arrow batches."""
+    from . import emoji
+
+    return emoji.with_names(emoji.composed(text)) if emoji_names else emoji.composed(text)
+
+
 def social_clean(text: Column) -> Column:
-    """Links and mentions become marks, #x becomes x, runs of three or more of a character become two, white space one space."""
+    """Links and mentions become marks, #x becomes x, runs of three or more of a character become two, white space one space. For decomposed letters see composed()."""
+    # The patterns and marks.
     steps = [(r"https?://\S+|www\.\S+", "[URL]"), (r"(?U)@\w+", "[UTENTE]"), (r"(?U)#(\w+)", "$1"), (r"(.)\1{2,}", "$1$1"), (r"\s+", " ")]
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text))
 
@@ -72,6 +94,7 @@ def plain(text: Column) -> Column:
 
 def clean_transcript(text: Column) -> Column:
     """Captions as one line: header, time codes, cue numbers and tags go."""
+    # The patterns.
     steps = [
         (r"\r\n?", "\n"), (r"(?im)^WEBVTT.*$", ""), (r"\d{1,2}:\d{2}:\d{2}[.,]\d+\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d+", ""), (r"\d{1,2}:\d{2}[.,]\d+\s*-->\s*\d{1,2}:\d{2}[.,]\d+", ""),
         (r"\b\d{1,2}:\d{2}(?::\d{2})?[.,]\d+\b", ""), (r"(?m)^\s*\d+\s*$", ""), (r"<[^>]+>", ""), (r"\s+", " "),
@@ -131,9 +154,34 @@ def shortcode(url: Column) -> Column:
 
 
 def sponsored(text: Column) -> Column:
+    # The words that tell it.
     return F.lower(F.coalesce(text, F.lit(""))).rlike(r"#ad\b|sponsor|#adv\b|in collaborazione con|paid partnership")
 
 
+def needs_check(text: Column, confidence: Column, pattern: str, least: float = 0.75) -> Column:
+    """Whether a label is to be looked at again: low confidence, or a keyword in the text."""
+    return (confidence < least) | F.coalesce(text.rlike(pattern), F.lit(False))
+
+
+def without_fences(text: Column, limit: int | None = None) -> Column:
+    """An answer without the marks of a code block around it; limit: its first characters, where the caller's feature is a preview."""
+    c = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\n\r\f\x0b")), r"^```json\s*", ""), r"\s*```$", "")
+    c = F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+    return c if limit is None else F.left(c, F.lit(limit))
+
+
+def label_key(label: Column) -> Column:
+    """Letters a-z and digits of a label, in lower case: labels that differ in signs and spaces alone are equal."""
+    return F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
+
+
+def comment_flags(text: Column) -> dict[str, Column]:
+    """The comment without links, and without emoji; whether it begins with a mention; whether Latin letters meet characters beyond ASCII."""
+    t = F.coalesce(text, F.lit(""))
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(t, URL, ""), r"\s+", " "))
+    return {"text_cleaned": cleaned, "text_no_emoji": plain(t), "is_reply_text": t.rlike(r"(?U)^\s*@\w+"), "has_multiple_scripts": cleaned.rlike("[a-zA-Z]") & cleaned.rlike(r"[^\x00-\x7F]")}
+
+
 def match_words(text: Column) -> Column:
     """Lower-case words without the marks , . ? ! - ' \" >> <<"""
     return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[,.?!'\"-]|>>|<<", " "))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .quality import quantiles
+
 
 @dataclass(frozen=True)
 class Binding:
@@ -62,6 +64,11 @@ def clean_comments(df: DataFrame, b: Binding, top_level: bool = False) -> DataFr
     return df.withColumn("user_key", user_key(F.col(b.id_col), F.col(b.name_col), b.prefix)).filter(F.col("user_key").isNotNull())
 
 
+def with_words(df: DataFrame, words: str = "word_count") -> DataFrame:
+    """Rows with one word or more; an unknown count goes."""
+    return df.filter(F.col(words) > 0)
+
+
 def at_least(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Rows of groups with n rows or more; counts are pre-aggregated, so a hot group isn't gathered."""
     groups = df.groupBy(*keys).count().filter(F.col("count") >= n).drop("count")
@@ -81,7 +88,10 @@ def fill(df: DataFrame, constants: Mapping[str, object], medians: Sequence[str]
     """Nulls become constants, or the column's exact median (one row, joined to all)."""
     df = df.fillna({k: v for k, v in constants.items()})
     if medians:
-        mid = df.agg(*[F.median(c).alias(f"cl_{c}") for c in medians])
+        mid = None
+        for c in medians:
+            one = quantiles(df, c, {f"cl_{c}": 0.5})
+            mid = one if mid is None else mid.crossJoin(one)  # one row each
         df = df.crossJoin(F.broadcast(mid)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"cl_{c}")) for c in medians}).drop(*[f"cl_{c}" for c in medians])
     return df
 

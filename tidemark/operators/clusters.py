@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
@@ -43,13 +43,18 @@ def named(df: DataFrame, rules: Sequence[tuple[Column, str]], default: str = "Mi
     return df.withColumn(out, name)
 
 
-def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, rounds: int = 50) -> DataFrame:
-    """df with `cluster` from 1, numbered in the order of the centres' first coordinates; columns are standardised first."""
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="cu_raw"), StandardScaler(inputCol="cu_raw", outputCol="cu_x", withMean=True, withStd=True), KMeans(featuresCol="cu_x", predictionCol="cu_c", k=k, seed=seed, maxIter=rounds)]
-    model = Pipeline(stages=stages).fit(df)
-    order = sorted(range(len(model.stages[-1].clusterCenters())), key=lambda i: tuple(model.stages[-1].clusterCenters()[i]))
-    rank = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new + 1))])
-    return model.transform(df).withColumn("cluster", rank[F.col("cu_c")]).drop("cu_raw", "cu_x", "cu_c")
+def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, rounds: int = 50, starts: int = 1, labels: Mapping[int, int] | None = None) -> DataFrame:
+    """df with `cluster` from 1, numbered in the order of the centres' first coordinates, then renamed by labels; columns are standardised first.
+
+    Of `starts` seeds from `seed` on, the run of least cost counts.
+    """
+    scale = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="cu_raw"), StandardScaler(inputCol="cu_raw", outputCol="cu_x", withMean=True, withStd=True)]).fit(df)
+    points = scale.transform(df).select("cu_x").cache()
+    model = min((KMeans(featuresCol="cu_x", predictionCol="cu_c", k=k, seed=seed + i, maxIter=rounds).fit(points) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    points.unpersist()
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    rank = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit((labels or {}).get(new + 1, new + 1)))])
+    return model.transform(scale.transform(df)).withColumn("cluster", rank[F.col("cu_c")]).drop("cu_raw", "cu_x", "cu_c")
 
 
 def pca(df: DataFrame, cols: Sequence[str], k: int = 2) -> DataFrame:

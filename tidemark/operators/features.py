@@ -60,6 +60,13 @@ def union_terms(df: DataFrame, key: str, terms: str, k: int = 15) -> DataFrame:
     return one.withColumn("n", rank).filter(F.col("n") <= k).groupBy(key).agg(F.array_sort(F.collect_list("ft_t")).alias("terms"))
 
 
+def merge_chunks(results: DataFrame, key: str, order: str, k: int = 20) -> DataFrame:
+    """One row a key of its chunks' results: means of the indices, the first chunk's emotion, and the first k of all phrases in lower case, sorted."""
+    one = results.groupBy(key).agg(F.avg("polarization").alias("polarization"), F.avg("visual_ratio").alias("visual_ratio"), F.min_by("emotion", order).alias("emotion"))
+    phrases = union_terms(results.select(key, F.transform("phrases", F.lower).alias("phrases")), key, "phrases", k).withColumnsRenamed({key: "ft_key", "terms": "phrases"})
+    return one.join(phrases, F.col(key) == F.col("ft_key"), "left").drop("ft_key")
+
+
 def sample_comments(df: DataFrame, media: str, is_reply: str, order: str, k: int) -> DataFrame:
     """k comments a medium, biased to top level: max(k // 2, k - replies) of those, as far as they go."""
     rank = F.row_number().over(W.partitionBy(media, is_reply).orderBy(order))

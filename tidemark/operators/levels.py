@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import quantiles
+
 LEVELS = ("Low", "Medium", "High")
 
 
@@ -29,13 +31,12 @@ def profile(parts: Mapping[str, Column]) -> Column:
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], at: Sequence[float], digits: int | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles: {col}_p{100 * q}, rounded half to even if digits are given."""
-    picked = []
-    for c in cols:
-        for q in at:
-            v = F.percentile(F.col(c), F.lit(q))
-            picked.append((F.bround(v, digits) if digits is not None else v).alias(f"{c}_p{round(q * 100)}"))
-    return df.groupBy(*by).agg(*picked)
+    """Exact, linearly interpolated quantiles: {col}_p{100 * q}, rounded half to even if digits are given. All columns go through one pass over counts of values."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("lv_m"), F.col(c).cast("double").alias("lv_v")) for c in cols])).alias("lv")
+    names = {f"p{round(q * 100)}": q for q in at}
+    found = quantiles(df.select(*by, cells).select(*by, "lv.*"), "lv_v", names, [*by, "lv_m"])
+    value = lambda n: F.bround(F.col(n), digits) if digits is not None else F.col(n)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("lv_m") == c, value(n))).alias(f"{c}_{n}") for c in cols for n in names])
 
 
 def check_thresholds(table: DataFrame, metrics: Sequence[str], key: str = "metric") -> DataFrame:

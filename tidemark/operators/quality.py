@@ -25,6 +25,50 @@ def moments_shift(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
     return both.withColumns({"mean_change_pct": change("mean"), "std_change_pct": change("std")})
 
 
+#: Values are put into so many ranges, so that no task sees them all.
+CELLS = 200
+
+
+def running(n: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """n (a row for each of by and v) with <c>_before and <c>_total of each column c: the sums over smaller v, and over all, of the group.
+
+    Ranges end at approximate quantiles of the values, so skewed values spread over them; they only deal out the work, and no result depends on them.
+    """
+    ends = n.agg(F.percentile_approx("v", [i / CELLS for i in range(1, CELLS)], 10_000).alias("qa_ends"))
+    spread = n.crossJoin(F.broadcast(ends)).withColumn("qa_cell", F.size(F.filter("qa_ends", lambda e: e < F.col("v")))).drop("qa_ends")
+    group, keys = W.partitionBy(*by) if by else W.partitionBy(F.lit(0)), [*by, "qa_cell"]
+    cells = spread.groupBy(*keys).agg(*[F.sum(c).alias(f"qa_{c}") for c in cols])  # CELLS rows a group at most
+    ahead = cells.select(
+        *[F.col(k).alias(f"qa_k_{k}") for k in keys], *[F.coalesce(F.sum(f"qa_{c}").over(group.orderBy("qa_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"qa_a_{c}") for c in cols],
+        *[F.sum(f"qa_{c}").over(group).alias(f"{c}_total") for c in cols],
+    )
+    inside = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    rows = spread.withColumns({f"qa_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"qa_k_{k}"))
+    return rows.join(ahead if by else F.broadcast(ahead), same).select(*n.columns, *[(F.col(f"qa_a_{c}") + F.col(f"qa_i_{c}")).alias(f"{c}_before") for c in cols], *[f"{c}_total" for c in cols])
+
+
+def counted(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, v (known values as doubles), n, n_before, n_total."""
+    v = F.col(col).cast("double")
+    return running(df.filter(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("n")), by, ["n"])
+
+
+def quantiles(df: DataFrame, col: str, at: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """by, one column a quantile, linear between the two values around it: like percentile(), but from counts, so no buffer holds all values."""
+    rows = counted(df, col, by)
+    aggs = []
+    for name, q in at.items():
+        pos = (F.col("n_total") - 1) * F.lit(float(q))
+        holds = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+        low, high = F.max(F.when(holds(F.floor(pos)), F.col("v"))), F.max(F.when(holds(F.ceil(pos)), F.col("v")))
+        part = F.max(pos - F.floor(pos))
+        aggs.append(F.when(low == high, low).otherwise(low + (high - low) * part).alias(name))
+    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
 def ks_statistic(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
     """statistic, n_before, n_after: the largest gap between the two distribution functions.
 
@@ -32,15 +76,9 @@ def ks_statistic(before: DataFrame, after: DataFrame, col: str) -> DataFrame:
     """
     tagged = before.select(F.col(col).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(after.select(F.col(col).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("v IS NOT NULL")
     n = tagged.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ends = n.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1000)).otherwise(0)
-    rows = n.crossJoin(F.broadcast(ends)).withColumn("cell", cell)
-    cells = rows.groupBy("cell").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))  # 1001 rows at most
-    ahead = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select("cell", F.coalesce(F.sum("ca").over(ahead), F.lit(0)).alias("pa"), F.coalesce(F.sum("cb").over(ahead), F.lit(0)).alias("pb"))
-    upto = W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    gap = F.abs((F.sum("a").over(upto) + F.col("pa")) / F.col("na") - (F.sum("b").over(upto) + F.col("pb")) / F.col("nb"))
-    return rows.join(F.broadcast(cells), "cell").withColumn("gap", gap).agg(F.max("gap").alias("statistic"), F.max("na").alias("n_before"), F.max("nb").alias("n_after"))
+    rows = running(n, [], ["a", "b"])
+    gap = F.abs((F.col("a") + F.col("a_before")) / F.col("a_total") - (F.col("b") + F.col("b_before")) / F.col("b_total"))
+    return rows.agg(F.max(gap).alias("statistic"), F.max("a_total").alias("n_before"), F.max("b_total").alias("n_after"))
 
 
 def ks_p_value(statistic: float, n: int, m: int) -> float:
@@ -101,7 +139,8 @@ def smooth(hist: DataFrame, sigma: float = 3.0, radius: int = 12, col: str = "de
 def kde(df: DataFrame, col: str, grid: Sequence[float], multiplier: float = 1.0) -> DataFrame:
     """x, density: Gaussian kernels at Silverman's bandwidth, for each point of a short grid, in one pass of partial sums."""
     v = F.col(col).cast("double")
-    stats = df.agg(F.stddev_samp(v).alias("sd"), (F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias("iqr"), F.count(v).alias("n"))
+    middle = quantiles(df, col, {"qa_p25": 0.25, "qa_p75": 0.75}).select((F.col("qa_p75") - F.col("qa_p25")).alias("iqr"))
+    stats = df.agg(F.stddev_samp(v).alias("sd"), F.count(v).alias("n")).crossJoin(middle)  # one row each
     spread = F.least(F.col("sd"), F.when(F.col("iqr") > 0, F.col("iqr") / 1.34).otherwise(F.col("sd")))
     band = stats.select((spread * 0.9 * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * multiplier).alias("h"), "n")
     rows = df.filter(v.isNotNull()).select(v.alias("v")).crossJoin(F.broadcast(band))
@@ -112,19 +151,55 @@ def kde(df: DataFrame, col: str, grid: Sequence[float], multiplier: float = 1.0)
 
 def ecdf(df: DataFrame, col: str) -> DataFrame:
     """value, n, cumulative, share: a row a distinct value; running sums go over counts."""
-    n = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    run = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return n.withColumn("cumulative", run).crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).withColumn("share", F.col("cumulative") / F.col("total")).drop("total")
+    kind = df.schema[col].dataType
+    up_to = F.col("n_before") + F.col("n")
+    return counted(df, col).select(F.col("v").cast(kind).alias("value"), "n", up_to.alias("cumulative"), (up_to / F.col("n_total")).alias("share"))
 
 
 def percentile_rank(df: DataFrame, col: str, value: float) -> Column | DataFrame:
     return df.agg(F.avg((F.col(col) <= value).cast("double")).alias("rank"))
 
 
-def inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, n_rows, n_columns."""
+def reconcile(df: DataFrame, total: str, parts: Sequence[str]) -> DataFrame:
+    """df with sum_of_parts (nulls count as zero) and difference, total minus that."""
+    whole = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts), F.lit(0))
+    return df.withColumn("sum_of_parts", whole).withColumn("difference", F.col(total) - F.col("sum_of_parts"))
+
+
+def describe(df: DataFrame, col: str) -> DataFrame:
+    """count, mean, std, min, p25, p50, p75, max of the known values; quantiles interpolate, from counts of values."""
+    v = F.col(col).cast("double")
+    one = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return one.crossJoin(quantiles(df, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def value_counts(df: DataFrame, col: str, k: int = 10) -> DataFrame:
+    """The k most frequent values, ties by the value: a report of fixed length."""
+    return df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
+    """row, one count a value; values that don't occur have zero."""
+    return df.groupBy(row).agg(*[F.count(F.when(F.col(col) == v, 1)).alias(str(v)) for v in values])
+
+
+def label_changes(df: DataFrame, before: str, after: str, called: Column) -> DataFrame:
+    """before, after, n, called: how many rows went from one label to the other, and the share of them that were looked at again."""
+    return df.groupBy(before, after).agg(F.count(F.lit(1)).alias("n"), F.avg(called.cast("double")).alias("called"))
+
+
+def file_bytes(spark, path: str) -> int:
+    """Bytes of all files below a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def inventory(tables: dict[str, DataFrame], paths: dict[str, str] | None = None) -> DataFrame:
+    """table, n_rows, n_columns; with paths also n_bytes of their files."""
     out = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        if paths is not None:
+            one = one.withColumn("n_bytes", F.lit(file_bytes(df.sparkSession, paths[name])).cast("long"))
         out = one if out is None else out.unionByName(one)
     return out

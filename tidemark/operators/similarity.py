@@ -43,12 +43,22 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str, vec_c
     return vectors.select(id_col, cosine(F.col(vec_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def topic_vectors(weights: DataFrame, owner: str, topic: str, weight: str, topics: Sequence[str]) -> DataFrame:
-    """owner, topic, share: weights summed by topic over the whole universe of topics, zero where there is none, to a sum of 1."""
+def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_col: str, vec_col: str) -> DataFrame:
+    """The k rows of least cosine distance (1 - cosine), ties by id."""
+    return top_k(vectors, query, k, id_col, vec_col).select(id_col, (1 - F.col("score")).alias("distance"))
+
+
+def topic_vectors(weights: DataFrame, owner: str, topic: str, weight: str, topics: Sequence[str], strict: bool = False) -> DataFrame:
+    """owner, topic, share: weights summed by topic over the whole universe of topics, zero where there is none, to a sum of 1.
+
+    A vector whose weights sum to zero has null shares; with strict it stops the query.
+    """
     sums = weights.filter(F.col(topic).isin(*topics)).groupBy(owner, topic).agg(F.sum(weight).alias("w"))
     grid = weights.select(owner).distinct().select(owner, F.explode(F.array(*[F.lit(t) for t in topics])).alias(topic))
     total = F.sum("w").over(W.partitionBy(owner))
-    return grid.join(sums, [owner, topic], "left").fillna(0.0, ["w"]).withColumn("total", total).select(owner, topic, (F.col("w") / F.nullif(F.col("total"), F.lit(0.0))).alias("share"))
+    vectors = grid.join(sums, [owner, topic], "left").fillna(0.0, ["w"]).withColumn("total", total)
+    empty = F.raise_error(F.concat(F.lit("no weight at all for "), F.col(owner).cast("string"))).cast("double") if strict else F.lit(None).cast("double")
+    return vectors.select(owner, topic, F.when(F.col("total") == 0, empty).otherwise(F.col("w") / F.nullif(F.col("total"), F.lit(0.0))).alias("share"))
 
 
 def affinity(vectors: DataFrame, owner: str, topic: str, base: str) -> DataFrame:

@@ -61,9 +61,15 @@ def spells(states: DataFrame, user: str = "user_key", index: str = "window_index
     return out.withColumns({"is_censored": F.col("next_state").isNull(), "has_exit": F.col("next_state").isNotNull()})
 
 
-def hazards(runs: DataFrame, state: str = "state") -> DataFrame:
-    """Discrete life table: at_risk, exits, censored, hazard for each state and duration from 1 to the state's longest."""
-    sizes = runs.groupBy(state, "duration").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("has_exit"), 1)).alias("exits"), F.count(F.when(~F.col("has_exit"), 1)).alias("censored"))
+def _times(weight: str | None) -> Column:
+    """How many runs a row stands for."""
+    return F.lit(1).cast("long") if weight is None else F.col(weight)
+
+
+def hazards(runs: DataFrame, state: str = "state", weight: str | None = None) -> DataFrame:
+    """Discrete life table: at_risk, exits, censored, hazard for each state and duration from 1 to the state's longest. weight: how many runs a row stands for."""
+    w = _times(weight)
+    sizes = runs.groupBy(state, "duration").agg(F.sum(w).alias("n"), F.sum(F.when(F.col("has_exit"), w).otherwise(0)).alias("exits"), F.sum(F.when(F.col("has_exit"), 0).otherwise(w)).alias("censored"))
     longest = sizes.groupBy(state).agg(F.max("duration").alias("m"))
     grid = longest.select(state, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("duration"))
     full = grid.join(sizes, [state, "duration"], "left").fillna(0, ["n", "exits", "censored"])
@@ -88,9 +94,9 @@ def durations(runs: DataFrame, state: str = "state", digits: int = 4) -> DataFra
     )
 
 
-def exit_destinations(runs: DataFrame, state: str = "state") -> DataFrame:
+def exit_destinations(runs: DataFrame, state: str = "state", weight: str | None = None) -> DataFrame:
     """state, next_state, n, exit_probability among spells that ended."""
-    n = runs.filter("has_exit").groupBy(state, "next_state").agg(F.count(F.lit(1)).alias("n"))
+    n = runs.filter("has_exit").groupBy(state, "next_state").agg(F.sum(_times(weight)).alias("n"))
     return n.withColumn("exit_probability", F.col("n") / F.sum("n").over(W.partitionBy(state)))
 
 
@@ -102,9 +108,14 @@ def top_exits(destinations: DataFrame, k: int = 3, state: str = "state") -> Data
 
 
 def exit_risks(runs: DataFrame, state: str = "state", idle: Sequence[str] = (INACTIVE, NOT_YET)) -> DataFrame:
-    """For active states: chance to leave at once, and where to; role: by whether leaving is likely and leads to inactivity."""
-    table = survival(hazards(runs, state), (2,), state)
-    out = exit_destinations(runs, state).filter(~F.col(state).isin(*idle))
+    """For active states: chance to leave at once, and where to; role: by whether leaving is likely and leads to inactivity.
+
+    Runs are counted once, by state, duration and next state; all parts start from those counts, whose exchange Spark reuses.
+    """
+    sized = runs.groupBy(state, "duration", "next_state").agg(F.count(F.lit(1)).alias("st_n")).withColumn("has_exit", F.col("next_state").isNotNull())
+    table = survival(hazards(sized, state, "st_n"), (2,), state)
+    mean = sized.groupBy(state).agg(F.bround(F.sum(F.col("duration") * F.col("st_n")) / F.sum("st_n"), 4).alias("mean_duration"))
+    out = exit_destinations(sized, state, "st_n").filter(~F.col(state).isin(*idle))
     active = ~F.col("next_state").isin(*idle)
     best = F.max_by(F.when(active, F.col("next_state")), F.when(active, F.struct("exit_probability", F.col("n"))))
     to = out.groupBy(state).agg(
@@ -112,7 +123,7 @@ def exit_risks(runs: DataFrame, state: str = "state", idle: Sequence[str] = (INA
         F.coalesce(F.sum(F.when(active, F.col("exit_probability"))), F.lit(0.0)).alias("to_active"),
         F.coalesce(F.max(F.when(active, F.col("exit_probability"))), F.lit(0.0)).alias("top_active_probability"), best.alias("top_active_state"),
     )
-    joined = durations(runs, state).select(state, "mean_duration").join(table, state).filter(~F.col(state).isin(*idle)).join(to, state, "left").fillna(0.0, ["to_inactive", "to_active", "top_active_probability"])
+    joined = mean.join(table, state).filter(~F.col(state).isin(*idle)).join(to, state, "left").fillna(0.0, ["to_inactive", "to_active", "top_active_probability"])
     return joined.withColumn("exit_within_1", 1 - F.col("prob_d_ge_2")).drop("prob_d_ge_2")
 
 

@@ -15,8 +15,12 @@ from ..functions import text as T
 def content_dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df with source_hash and reject_reason: empty, duplicate (an earlier id has the same content), or null for what is kept."""
     rows = df.withColumn("source_hash", F.when(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0, T.normal_hash(F.col(text_col))))
-    first = rows.filter(F.col("source_hash").isNotNull()).groupBy(F.col("source_hash").alias("tr_hash")).agg(F.min(id_col).alias("tr_first"))
-    joined = rows.join(first, F.col("source_hash") == F.col("tr_hash"), "left")
+    # Only hashes that occur more than once are joined: few, as a rule, so the texts stay where they are. Null hashes take no part, and rows that repeat an id are one.
+    hashes = rows.select("source_hash", F.col(id_col).alias("tr_id")).filter(F.col("source_hash").isNotNull())
+    first = hashes.groupBy(F.col("source_hash").alias("tr_hash")).agg(F.min("tr_id").alias("tr_first"), F.max("tr_id").alias("tr_last")).filter("tr_first <> tr_last").drop("tr_last")
+    # A key of its own for every row without hash, so that they don't meet in one task.
+    key = F.coalesce(F.col("source_hash"), F.concat(F.lit("none "), F.col(id_col).cast("string")))
+    joined = rows.withColumn("tr_key", key).join(first, F.col("tr_key") == F.col("tr_hash"), "left").drop("tr_key")
     why = F.when(F.col("source_hash").isNull(), "empty_transcript").when(F.col(id_col) != F.col("tr_first"), "duplicate_content")
     return joined.withColumn("reject_reason", why).drop("tr_hash", "tr_first")
 
@@ -76,8 +80,11 @@ def containment(shorts: DataFrame, longs: DataFrame, by: str, id_col: str, text_
     rank = F.row_number().over(W.partitionBy("o_by", "o_id").orderBy("df", "o_w"))
     probes = mine.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("o_by", "o_id", "o_w")
     pairs = probes.join(grams, (F.col("o_by") == F.col("g_by")) & (F.col("o_w") == F.col("g_w"))).select("o_by", "o_id", "g_id").distinct()
-    both = pairs.join(s, (F.col("o_by") == F.col("s_by")) & (F.col("o_id") == F.col("s_id"))).join(l, (F.col("o_by") == F.col("l_by")) & (F.col("g_id") == F.col("l_id"))).select("s_by", "s_id", "l_id", "s_words", "l_words", "s_set", "l_set")
-    likely = both.filter(F.size(F.array_intersect("s_set", "l_set")) / F.size("s_set") >= threshold).select("s_by", "s_id", "l_id", "s_words", "l_words")
+    # Shared distinct words are counted from the words' own rows; the texts' words are fetched for the pairs that are left.
+    words_of = own.select(F.col("o_by").alias("w_by"), F.col("o_id").alias("w_id"), F.col("o_w").alias("w_w"), "n")
+    meets = pairs.join(words_of, (F.col("o_by") == F.col("w_by")) & (F.col("o_id") == F.col("w_id"))).join(grams.withColumnsRenamed({"g_by": "h_by", "g_id": "h_id", "g_w": "h_w"}), (F.col("o_by") == F.col("h_by")) & (F.col("g_id") == F.col("h_id")) & (F.col("w_w") == F.col("h_w")))
+    near = meets.groupBy("o_by", "o_id", "g_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") / F.col("n") >= threshold).select("o_by", "o_id", "g_id")
+    likely = near.join(s, (F.col("o_by") == F.col("s_by")) & (F.col("o_id") == F.col("s_id"))).join(l, (F.col("o_by") == F.col("l_by")) & (F.col("g_id") == F.col("l_id"))).select("s_by", "s_id", "l_id", "s_words", "l_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,6 +97,12 @@ def containment(shorts: DataFrame, longs: DataFrame, by: str, id_col: str, text_
     return scored.groupBy("by", "short_id").agg(best.alias("m")).select(F.col("by").alias(by), "short_id", "m.long_id", "m.ratio")
 
 
+def duplicates_of(shorts: DataFrame, matches: DataFrame, id_col: str) -> DataFrame:
+    """shorts with is_duplicate: whether containment() found a long video that holds it."""
+    known = matches.select(F.col("short_id").alias("tr_short")).distinct()
+    return shorts.join(known, F.col(id_col) == F.col("tr_short"), "left").withColumn("is_duplicate", F.col("tr_short").isNotNull()).drop("tr_short")
+
+
 def choose_overlay(df: DataFrame, own: str, href: str, description: str) -> DataFrame:
     c = T.connection(F.col(own), T.link_target(F.col(href)), T.links(F.col(description), F.col(own)))
     return df.withColumn("tr_c", c).select("*", "tr_c.*").drop("tr_c")

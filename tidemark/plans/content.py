@@ -46,9 +46,9 @@ def comment_features(spark, d):
 
 
 def emoji_word_counts(spark, d):
-    """The whole text and a tail with emoji. The SQL holds for texts without emoji; others are in the tests."""
-    t = F.concat(F.col("text"), F.lit(" \U0001f600\U0001f600\U0001f602 ok"))
-    return docs(spark, d).select("doc_id", (emoji.word_count(t) - emoji.word_count_runs(t)).alias("extra"), F.size(emoji.emoji_units(t)).alias("units"))
+    """Words of the whole text, with three emoji put after every "a " in it. The SQL holds for texts that have none of their own; others are in the tests and in emoji_cases."""
+    t = F.replace(F.col("text"), F.lit("a "), F.lit("a \U0001f600\U0001f600\U0001f44d\U0001f3fd "))
+    return docs(spark, d).select("doc_id", emoji.word_count_runs(t).alias("runs"), emoji.word_count(t).alias("words"), F.size(emoji.emoji_units(t)).cast("long").alias("units"))
 
 
 def media_community_features(spark, d):
@@ -235,7 +235,7 @@ _TOPICS = "tv AS (SELECT g.source, g.lang, coalesce(w, 0) / sum(coalesce(w, 0))
 
 QUERIES: dict[str, Query] = {
     "comment_features": (comment_features, rounded_sql(f"--main SELECT doc_id, text_length, word_count, url_count, mention_count, hashtag_count, exclamation_count, question_count, avg_word_length, has_numbers, has_links FROM {feature_sql('documents')}", "avg_word_length")),
-    "emoji_word_counts": (emoji_word_counts, "SELECT doc_id, 1::BIGINT AS extra, 3 AS units FROM documents"),
+    "emoji_word_counts": (emoji_word_counts, "WITH t AS (SELECT doc_id, (length(text) - length(replace(text, 'a ', ''))) // 2 AS n, len(regexp_extract_all(text, 'https?://[^ \\t\\n\\r\\f\\x0b]+|[#@]?[\\pL\\pN_]+(?:[.''’_-][\\pL\\pN_]+)*')) AS k FROM documents) SELECT doc_id, (k + n)::BIGINT AS runs, (k + 2 * n)::BIGINT AS words, (3 * n)::BIGINT AS units FROM t"),
     "media_community_features": (
         media_community_features,
         rounded_sql(f"""--main SELECT media_id, count(*)::BIGINT AS comment_volume, count(DISTINCT author_id)::BIGINT AS unique_authors, avg((reply_to IS NOT NULL)::INT) AS reply_ratio, avg(word_count) AS mean_word_count, avg(has_links) AS link_ratio, avg((question_count > 0)::INT) AS interrogative_ratio,

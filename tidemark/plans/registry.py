@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, dynamic, era, rcedtg, reports, selection
+from . import content, dynamic, era, formats, rcedtg, records, reports, selection
 
-MODULES = (era, dynamic, rcedtg, content, selection, reports)
+MODULES = (era, dynamic, rcedtg, content, selection, reports, records, formats)
 
 
 def queries() -> dict:

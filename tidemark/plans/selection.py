@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clusters, levels, selection
+from ..operators import clusters, levels, quality, selection
 from .bindings import EV, Query, comments, events, posts, rounded, rounded_sql, table
 from .content import docs, turns, _TURNS, _WORDS
 from .dynamic import _SEEN, _levels, _LV, metrics_of
@@ -114,7 +114,7 @@ def rank_derived_cuts(spark, d):
     """Cuts at the quantiles that two fixed values have among all: their percentile rank, then the value at it."""
     m = rounded(macro(spark, d))
     r = m.agg(*[F.avg((F.col("comment_count") <= v).cast("double")).alias(f"rank_{v}") for v in (15, 20)])
-    q = m.agg(F.percentile("recency", F.lit(0.3)).alias("recency_p30"), F.percentile("recency", F.lit(0.7)).alias("recency_p70"), F.percentile("engagement", F.lit(0.6)).alias("engagement_p60"), F.percentile("engagement", F.lit(0.9)).alias("engagement_p90"))
+    q = quality.quantiles(m, "recency", {"recency_p30": 0.3, "recency_p70": 0.7}).crossJoin(quality.quantiles(m, "engagement", {"engagement_p60": 0.6, "engagement_p90": 0.9}))
     return rounded(r.crossJoin(q))
 
 

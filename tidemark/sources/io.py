@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +14,15 @@ def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Declared types; quoted fields may hold line ends and doubled quotes."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+def csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Declared types; quoted fields may hold doubled quotes, and line ends with multi_line, which makes each file one task."""
+    df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
     return df.select(*columns) if columns else df
 
 
-def csv_if_present(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
+def csv_if_present(spark: SparkSession, path: str, wanted: Sequence[str], multi_line: bool = False) -> DataFrame:
     """All columns as strings, those of `wanted` that the header has."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return df.select(*[c for c in wanted if c in df.columns])
 
 
@@ -53,15 +54,33 @@ def _file_id(path: str) -> str:
     return path.rsplit("/", 1)[-1].lstrip("_").split(".", 1)[0]
 
 
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files by their paths, one at a time: for names that Spark doesn't read."""
+    from pyarrow import fs
+
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            local = "/" + path.removeprefix("file:").lstrip("/")
+            where, at = (fs.LocalFileSystem(), local) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+            with where.open_input_file(at) as f:
+                text = f.read().decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["io_path", "text"])
+
+
 def texts(spark: SparkSession, folder: str, suffixes: Sequence[str] = ("vtt", "srt", "txt", "empty")) -> DataFrame:
     """id, path, text of all files below folder: the id is the name without leading _ up to the first dot; of several files the last path counts."""
     chosen = {_file_id(path): (path, n) for path, n in listing(spark, folder, suffixes)}
     rows = spark.createDataFrame([(i, path, n) for i, (path, n) in chosen.items() if i], "id string, path string, io_n long")
     full = [path for i, (path, n) in chosen.items() if i and n]
+    hidden = [p for p in full if p.rsplit("/", 1)[-1][0] in "_."]  # names that Spark's own listing leaves out: failed or partial ones, few
     empty = rows.filter("io_n = 0").select("id", "path", F.lit("").alias("text"))
     if not full:
         return empty
-    raw = spark.read.format("binaryFile").load(full).select(F.col("path").alias("io_path"), F.decode("content", "UTF-8").alias("text"))
+    some = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(folder)
+    raw = some.select(F.col("path").alias("io_path"), F.decode("content", "UTF-8").alias("text"))
+    if hidden:
+        paths = spark.createDataFrame([(path,) for path in hidden], "io_path string")
+        raw = raw.unionByName(paths.repartition(min(len(hidden), 1000)).mapInArrow(_read_texts, "io_path string, text string"))
     return rows.join(raw, F.col("path") == F.col("io_path")).select("id", "path", "text").union(empty)
 
 
@@ -86,9 +105,9 @@ def excel(spark: SparkSession, path: str, required: Sequence[str], sheet: int |
 POST_SCHEMA = "shortcode string, node struct<shortcode:string, edge_media_to_parent_comment:struct<edges:array<struct<node:struct<id:string,text:string,created_at:long,owner:struct<id:string>,edge_threaded_comments:struct<edges:array<struct<node:struct<id:string,text:string,created_at:long,owner:struct<id:string>>>>>>>>>>, webpage_url string, extractor string, comments array<struct<id:string,text:string,timestamp:long,author_id:string,parent:string>>, music_title string, music_artist string, audio_content struct<music_title:string,music_artist:string>"
 
 
-def nested_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Posts as JSON documents in either of two dialects."""
-    return spark.read.schema(POST_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def nested_posts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Posts as JSON documents in either of two dialects, one a line; with multi_line one a file, which makes each file one task."""
+    return spark.read.schema(POST_SCHEMA).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
 
 
 def nested_comments(posts: DataFrame) -> DataFrame:
@@ -115,20 +134,25 @@ def by_shortcode(comments: DataFrame, corpus: DataFrame, permalink: str = "perma
     return comments.join(table, F.col("shortcode") == F.col("io_code"), "left").withColumn("media_id", F.coalesce("io_media", "shortcode")).drop("io_code", "io_media")
 
 
-def json_columns(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
+def json_columns(df: DataFrame, col: str, prefix: str = "", keys: Sequence[str] | None = None, max_keys: int = 2000) -> DataFrame:
     """A column for each key of a JSON object of numbers; text that is no object counts under other_clicks.
 
-    The distinct keys reach the driver: they are the result's schema.
+    keys: those that are known. Without, the distinct keys reach the driver, as they are the result's schema; more than max_keys raise.
     """
     parsed = F.from_json(col, "map<string,double>")
     as_map = df.withColumn("io_map", F.when(F.coalesce(F.col(col), F.lit("")).rlike(r"^\s*\{"), parsed).when(F.col(col).try_cast("double").isNotNull(), F.create_map(F.lit("other clicks"), F.col(col).try_cast("double"))))
-    keys = sorted(r[0] for r in as_map.select(F.explode(F.map_keys("io_map"))).distinct().collect())
+    if keys is None:
+        keys = sorted(r[0] for r in as_map.select(F.explode(F.map_keys("io_map"))).distinct().limit(max_keys + 1).collect())
+        if len(keys) > max_keys:
+            raise ValueError(f"more than {max_keys} keys; name those that are wanted")
     name = lambda k: prefix + "".join(ch if ch.isascii() and ch.isalnum() else "_" for ch in k).strip("_").lower()
     return as_map.select("*", *[F.try_element_at("io_map", F.lit(k)).alias(name(k)) for k in keys]).drop("io_map")
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """single: one file, for a report that is known to be small."""
+def write_csv(df: DataFrame, path: str, single: bool = False, bom: bool = False) -> None:
+    """single: one file, for a report that is known to be small. bom: every file begins with a byte order mark, as spreadsheets like it."""
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
@@ -136,6 +160,26 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_in_batches(df: DataFrame, path: str, key: Column, batches: int) -> DataFrame:
+    """Write df in batches by a hash of the key, each to a folder of its own, and read all back. A batch that is complete already is not done again, so a job that was cut off goes on where it stopped."""
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b in range(batches):
+        folder = f"{path}/batch={b}"
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
+            df.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == b).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(*[f"{path}/batch={b}" for b in range(batches)])
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local session may go without."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or f"/tmp/{sc.applicationId}"
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Nulls are written, arrays and maps as JSON."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
