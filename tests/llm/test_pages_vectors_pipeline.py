@@ -63,7 +63,7 @@ def test_html_odd(spark):
 def brute_top(ids, x, is_query, k):
     out = {}
     for i in np.flatnonzero([is_query(v) for v in ids]):
-        s = vector_tree.scores(x[i : i + 1], x)[0]
+        s = vector_tree.scores(np.repeat(x[i : i + 1], len(x), axis=0), x)
         keep = ids != ids[i]
         order = np.lexsort((ids[keep], -s[keep]))[:k]
         out[int(ids[i])] = (ids[keep][order].tolist(), s[keep][order].tolist())
@@ -150,3 +150,27 @@ def test_pipeline(spark, tmp_path):
     tokens = {d: sum(r.length for r in alone if r.doc_id == d) for d in once}
     assert all(r.doc_tokens == tokens[r.doc_id] for r in alone)
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "start", "ids_crc32").collect())) == sorted((r.doc_id, r.start, r.ids_crc32) for r in rows)
+
+
+def test_pipeline_stages_on_odd_and_empty_input(spark, odd_docs, no_docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    odd = odd_docs.withColumns({c: F.lit("mine") for c in ("copy", "cp_copy", "N_lines", "text_licence", "root", "qr_row")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, DATA)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert all(r["copies"] == "mine" and r["cp_copy"] == "mine" and r["copy"] == "mine" and r["fp"] == "mine" and r["start"] == "mine" for r in rows), name
+        if name == "quality_rules":
+            assert not rows  # too short, or the same words over and over
+        if name == "line_dedup":
+            assert len(rows) == odd.count() and all(r.text is not None and r.n_chars == len(r.text) for r in rows)
+        if name == "simhash":
+            assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 5, 6, 7]
+        if name == "mixing":
+            assert max(rows.count(r) for r in rows) <= 2 * odd.count()
+        assert stage(spark, no_docs, DATA).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, DATA).collect()
+    assert sum(r.length for r in packed if r.start == 0 and r.doc_id is None) >= 2 and len([r for r in packed if r.start == 0]) == odd.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, DATA).count() == 0
