@@ -47,7 +47,7 @@ NAMES = set(
 )
 MAIN = set("article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|$)?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -91,7 +91,11 @@ def parse(page: str) -> Node:
         pos = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, attrs = m[2].lower(), m[3]
+        if m[4] is None:  # a quote that never ends: the tag ends at the next >
+            end = page.find(">", m.start())
+            pos = n if end < 0 else end + 1
+            attrs = page[m.end(2) : pos].removesuffix(">")
         if m[1]:  # an end tag closes the nearest element of its name, if any is open
             up = at
             while up is not root and up.tag != tag and not (up.tag == "main" and tag in ("div", "section", "article")):
@@ -105,10 +109,10 @@ def parse(page: str) -> Node:
                 at.kids.append(Node(tag, at))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos) if not m[3].rstrip().endswith("/") else None
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos) if not attrs.rstrip().endswith("/") else None
             if tag == "head" and end is None:
                 continue
-            pos = end.end() if end else (pos if m[3].rstrip().endswith("/") or tag in ("svg", "math", "object", "video", "audio", "canvas") else n)
+            pos = end.end() if end else (pos if attrs.rstrip().endswith("/") or tag in ("svg", "math", "object", "video", "audio", "canvas") else n)
             continue
         if tag in CLOSES_P:
             up = at
@@ -125,17 +129,17 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 at = last.parent
-        if tag in ("html", "body") and at is not root and m[3] == "":
+        if tag in ("html", "body") and at is not root and attrs == "":
             continue
         node = Node(tag, at)
         up, inside = at, False
         while up is not None and not inside:
             inside, up = up.tag in MAIN, up.parent
-        _judge(node, m[3], inside)
+        _judge(node, attrs, inside)
         at.kids.append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        if tag not in VOID and not attrs.rstrip().endswith("/"):
             at = node
-        elif m[3].rstrip().endswith("/") and tag not in VOID:
+        elif attrs.rstrip().endswith("/") and tag not in VOID:
             at = node if tag in BLOCK else at
     return root
 
