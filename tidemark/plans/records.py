@@ -191,6 +191,25 @@ def profile_distances(spark, d):
     return spark.createDataFrame([(names[i], names[j], float(dist[i, j])) for i in range(len(names)) for j in range(len(names))], "a string, b string, distance double")
 
 
+def _weighted_profiles(spark, d):
+    """The distinct class vectors and their weights: at most 3**features rows."""
+    p = levels.compress(classified(spark, d), FEATURES).orderBy(*FEATURES).toPandas()
+    return p, p[list(FEATURES)].to_numpy(float), p["weight"].to_numpy(float)
+
+
+def medoid_costs(spark, d):
+    """Cost of the best one, two and three medoids, by exchange and by alternation. The SQL tries all sets of medoids."""
+    _, points, w = _weighted_profiles(spark, d)
+    rows = [(k, kmedoids.pam(points, w, k).cost, kmedoids.alternating(points, w, k).cost) for k in (1, 2, 3)]
+    return rounded(spark.createDataFrame(rows, "k int, exchanged double, alternated double"), 6)
+
+
+def profile_silhouette(spark, d):
+    """Weighted silhouette of the profiles clustered by their first class."""
+    p, points, w = _weighted_profiles(spark, d)
+    return rounded(spark.createDataFrame([(len(w), kmedoids.silhouette(kmedoids.manhattan(points), w, p[FEATURES[0]].to_numpy()))], "profiles int, silhouette double"))
+
+
 def truncated_vectors(spark, d):
     return rounded(table(spark, d, "embeddings").select("vec_id", similarity.truncated(F.col("embedding"), 8).alias("v")).select("vec_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("v", F.lit(0)).alias("first")), 6)
 
@@ -216,6 +235,7 @@ def approved_labels(spark, d):
 _DESC = "count(x)::BIGINT AS count, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, max(x) AS max"
 _DIFF = "SELECT (l_quantity + l_linenumber - l_quantity - CASE WHEN l_linenumber % 7 <> 0 THEN l_linenumber ELSE 0 END)::DOUBLE AS x FROM lineitem"
 _KEY = "concat_ws('-', " + ", ".join(FEATURES) + ")"
+_PF = f"{CLASSIFIED}, pf AS (SELECT {', '.join(FEATURES)}, row_number() OVER (ORDER BY {', '.join(FEATURES)}) AS i, count(*)::DOUBLE AS w FROM k GROUP BY {', '.join(FEATURES)}), ds AS (SELECT x.i AS a, y.i AS b, x.{FEATURES[0]} AS la, x.w AS wa, y.{FEATURES[0]} AS l, y.w AS w, (" + " + ".join(f"abs(x.{f} - y.{f})" for f in FEATURES) + ")::DOUBLE AS d FROM pf x CROSS JOIN pf y)"
 QUERIES: dict[str, Query] = {
     "emoji_cases": (emoji_cases, "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {r}::BIGINT, {w}::BIGINT, {u}::INT)" for i, (_, r, w, u) in enumerate(EMOJI_CASES)) + ") v(case_no, runs, words, units)"),
     "comment_emoji_features": (comment_emoji_features, rounded_sql(f"--main SELECT comment_id, word_count, emoji_count, unique_emoji_count, emoji_entropy, emoji_variety_ratio, emoji_per_word_ratio FROM {_EMOJI}", "emoji_entropy", "emoji_variety_ratio", "emoji_per_word_ratio")),
@@ -254,6 +274,18 @@ QUERIES: dict[str, Query] = {
     "value_quantiles": (value_quantiles, rounded_sql("--main SELECT o_orderstatus, quantile_cont(o_totalprice, 0.1) AS p10, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.99) AS p99 FROM orders GROUP BY 1", "p10", "p50", "p99", digits=6)),
     "centroid_medians": (centroid_medians, rounded_sql(f"{CLASSIFIED} --main SELECT recency_class, era, quantile_cont(recency, 0.5) AS recency_p50, quantile_cont(engagement, 0.5) AS engagement_p50 FROM k GROUP BY 1, 2", "recency_p50", "engagement_p50")),
     "profile_distances": (profile_distances, f"{CLASSIFIED}, pf AS (SELECT DISTINCT {', '.join(FEATURES)}, {_KEY} AS name FROM k) SELECT x.name AS a, y.name AS b, (" + " + ".join(f"abs(x.{f} - y.{f})" for f in FEATURES) + ")::DOUBLE AS distance FROM pf x CROSS JOIN pf y"),
+    "medoid_costs": (
+        medoid_costs,
+        rounded_sql(f"""{_PF}, c1 AS (SELECT a, sum(w * d) AS cost FROM ds GROUP BY a), c2 AS (SELECT p.a, q.a AS b, sum(p.w * least(p.d, q.d)) AS cost FROM ds p JOIN ds q ON p.b = q.b AND p.a < q.a GROUP BY 1, 2),
+        c3 AS (SELECT p.a, q.a AS b, r.a AS c, sum(p.w * least(p.d, q.d, r.d)) AS cost FROM ds p JOIN ds q ON p.b = q.b AND p.a < q.a JOIN ds r ON r.b = q.b AND q.a < r.a GROUP BY 1, 2, 3), pm AS (SELECT 1 AS k, min(cost) AS cost FROM c1 UNION ALL SELECT 2, min(cost) FROM c2 UNION ALL SELECT 3, min(cost) FROM c3)
+        --main SELECT k::INT AS k, cost AS exchanged, cost AS alternated FROM pm""", "exchanged", "alternated", digits=6),
+    ),
+    "profile_silhouette": (
+        profile_silhouette,
+        rounded_sql(f"""{_PF}, pmass AS (SELECT l, sum(w) AS m FROM (SELECT DISTINCT b, l, w FROM ds) GROUP BY 1), psum AS (SELECT a, la, wa, l, sum(w * d) AS s FROM ds GROUP BY 1, 2, 3, 4), pt AS (SELECT psum.*, pmass.m FROM psum JOIN pmass USING (l)),
+        pu AS (SELECT a, any_value(wa) AS w, max(CASE WHEN l = la AND m > 1 THEN s / (m - 1) END) AS x, min(CASE WHEN l <> la THEN s / m END) AS y FROM pt GROUP BY a)
+        --main SELECT count(*)::INT AS profiles, sum(w * CASE WHEN x IS NULL OR greatest(x, y) = 0 THEN 0 ELSE (y - x) / greatest(x, y) END)::DOUBLE / sum(w) AS silhouette FROM pu""", "silhouette"),
+    ),
     "truncated_vectors": (truncated_vectors, rounded_sql("WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS h FROM embeddings), n AS (SELECT vec_id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS s FROM v) --main SELECT vec_id, CASE WHEN s > 0 THEN list_sum(h) / s ELSE 0 END AS total, CASE WHEN s > 0 THEN h[1] / s ELSE 0 END AS \"first\" FROM n", "total", '"first"', digits=6)),
     "embedding_distances": (embedding_distances, rounded_sql(f"WITH q AS (SELECT [{', '.join(str(x) for x in QUERY_VECTOR)}]::DOUBLE[] AS q), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q), t AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 10) --main SELECT vec_id, 1 - score AS distance FROM t", "distance", digits=7)),
     "merged_chunks": (merged_chunks, rounded_sql(f"WITH t AS {_TURNS}, p AS (SELECT DISTINCT media_id, unnest(['p' || (turn % 3), lower(author_id)]) AS p FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY p) AS rn FROM p), s AS (SELECT media_id, string_agg(p, ',' ORDER BY p) AS phrases FROM r WHERE rn <= 3 GROUP BY 1) --main SELECT t.media_id, avg(turn * 0.1::DOUBLE) AS polarization, avg(turn % 2 * 0.5::DOUBLE) AS visual_ratio, arg_min(author_id, turn) AS emotion, any_value(phrases) AS phrases FROM t JOIN s USING (media_id) GROUP BY 1", "polarization", "visual_ratio")),
