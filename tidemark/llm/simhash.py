@@ -20,7 +20,7 @@ dense group of n near copies costs about n links, never n * n. Values of more th
 cut into blocks, and every pair of blocks meets in a group of its own. Links are merged by
 alternating large-star and small-star steps over checkpointed tables.
 
-Defined cases: a text without words (null, empty) has fingerprint zero, which links like any other. Fewer
+Defined cases: ids are longs, and an id column of another type must be convertible to that or the query stops. A text without words (null, empty) has fingerprint zero, which links like any other. Fewer
 words than a shingle make one shingle. Rows that repeat a doc_id are fingerprinted each; rows without doc_id
 link but lend no name to a component, so a component of such rows alone has a null id.
 """

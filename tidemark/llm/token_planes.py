@@ -13,7 +13,7 @@ so they cost next to nothing. Layout, all little-endian:
 A reader seeks by the index and holds one block at a time. Files go to a folder all executors share, first
 under a name of the task's own and then renamed, so a task that is run again replaces its own file.
 
-Defined cases: a null text is empty; an empty text has its end id alone. Rows without doc_id come
+Defined cases: ids are longs, and an id column of another type must be convertible to that or the query stops; a null text is empty; an empty text has its end id alone. Rows without doc_id come
 first; rows of the same doc_id are ordered by their text's hash. An empty table makes no file. The string of a special token in
 a text becomes that token's id, as by the library's default; with special_as_text it is ordinary text.
 """
