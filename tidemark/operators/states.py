@@ -110,9 +110,10 @@ def top_exits(destinations: DataFrame, k: int = 3, state: str = "state") -> Data
 def exit_risks(runs: DataFrame, state: str = "state", idle: Sequence[str] = (INACTIVE, NOT_YET)) -> DataFrame:
     """For active states: chance to leave at once, and where to; role: by whether leaving is likely and leads to inactivity.
 
-    Runs are counted once, by state, duration and next state; all parts start from those counts, whose exchange Spark reuses.
+    Runs are counted once, by state, duration and next state. Those counts are kept, as filters pushed below them would
+    make each part compute the runs anew; they have at most states * windows * states rows.
     """
-    sized = runs.groupBy(state, "duration", "next_state").agg(F.count(F.lit(1)).alias("st_n")).withColumn("has_exit", F.col("next_state").isNotNull())
+    sized = runs.groupBy(state, "duration", "next_state").agg(F.count(F.lit(1)).alias("st_n")).withColumn("has_exit", F.col("next_state").isNotNull()).persist()
     table = survival(hazards(sized, state, "st_n"), (2,), state)
     mean = sized.groupBy(state).agg(F.bround(F.sum(F.col("duration") * F.col("st_n")) / F.sum("st_n"), 4).alias("mean_duration"))
     out = exit_destinations(sized, state, "st_n").filter(~F.col(state).isin(*idle))

@@ -80,10 +80,10 @@ def containment(shorts: DataFrame, longs: DataFrame, by: str, id_col: str, text_
     rank = F.row_number().over(W.partitionBy("o_by", "o_id").orderBy("df", "o_w"))
     probes = mine.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("o_by", "o_id", "o_w")
     pairs = probes.join(grams, (F.col("o_by") == F.col("g_by")) & (F.col("o_w") == F.col("g_w"))).select("o_by", "o_id", "g_id").distinct()
-    # Shared distinct words are counted from the words' own rows; the texts' words are fetched for the pairs that are left.
-    words_of = own.select(F.col("o_by").alias("w_by"), F.col("o_id").alias("w_id"), F.col("o_w").alias("w_w"), "n")
-    meets = pairs.join(words_of, (F.col("o_by") == F.col("w_by")) & (F.col("o_id") == F.col("w_id"))).join(grams.withColumnsRenamed({"g_by": "h_by", "g_id": "h_id", "g_w": "h_w"}), (F.col("o_by") == F.col("h_by")) & (F.col("g_id") == F.col("h_id")) & (F.col("w_w") == F.col("h_w")))
-    near = meets.groupBy("o_by", "o_id", "g_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") / F.col("n") >= threshold).select("o_by", "o_id", "g_id")
+    # Candidates meet with the hashes of their distinct words only; the words are fetched for the pairs that are left.
+    hashes = lambda df, p: df.select(f"{p}_by", f"{p}_id", F.transform(f"{p}_set", lambda w: F.xxhash64(w)).alias(f"{p}_h"))
+    both = pairs.join(hashes(s, "s"), (F.col("o_by") == F.col("s_by")) & (F.col("o_id") == F.col("s_id"))).join(hashes(l, "l"), (F.col("o_by") == F.col("l_by")) & (F.col("g_id") == F.col("l_id")))
+    near = both.filter(F.size(F.array_intersect("s_h", "l_h")) / F.size("s_h") >= threshold).select("o_by", "o_id", "g_id")
     likely = near.join(s, (F.col("o_by") == F.col("s_by")) & (F.col("o_id") == F.col("s_id"))).join(l, (F.col("o_by") == F.col("l_by")) & (F.col("g_id") == F.col("l_id"))).select("s_by", "s_id", "l_id", "s_words", "l_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
