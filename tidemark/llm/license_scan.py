@@ -1,18 +1,19 @@
 """Licence texts and notices by a canonical digest.
 
-A text is brought to a canonical form: A-Z in lower case, copyright lines gone, spelling variants of one word made
-equal, everything but letters and digits turned into single spaces. Its md5 is looked up among the digests of known
+A text is brought to a canonical form: A-Z in lower case, copyright lines gone, everything but letters and digits
+turned into single spaces, spelling variants of one word made equal. Its md5 is looked up among the digests of known
 licences by a hash join; equal digest, same licence. What is looked up is a whole text and each whole line
 (a notice such as "Released under the MIT License." stands on its own line), never a part of a line.
 
 The table of known texts is a parameter (name, kind, text) of at most MAX_KNOWN rows, so it is broadcast; a larger one is
 joined by shuffle. Defined cases: null and empty texts match nothing; rows that repeat an id give a row
-each; ``notices`` counts every matching line. A copyright line without a year goes if it has a (c) or ©; without either it
-may be part of a sentence and stays.
+each; ``notices`` counts every matching line; a known text that is empty in canonical form matches nothing. A copyright line without a year goes if it has a (c) or ©; without either it
+may be part of a sentence and stays. A claim goes with all of its line, so a text wrapped anew matches if its claims keep lines of their own.
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,7 +77,8 @@ def full_texts() -> list[tuple[str, str]]:
     out = list(TEXTS.items()) + list(stored.items())
     end = "END OF TERMS AND CONDITIONS"
     out += [(n, t[: t.index(end) + at]) for n, t in stored.items() if end in t for at in (0, len(end))]
-    return out + [(n, f"{title}\n{rights}\n{t}") for n, t in short.items() for title in ["", *TITLES[n]] for rights in ("", "All rights reserved.")]
+    short |= {f"{n} ": re.sub(r"(?m)^[0-9]\. ", "", t) for n, t in short.items() if n.startswith("BSD")}  # with bullets in place of numbers
+    return out + [(n.strip(), f"{title}\n{rights}\n{t}") for n, t in short.items() for title in ["", *TITLES[n.strip()]] for rights in ("", "All rights reserved.")]
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -85,39 +87,55 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 
 #: A line of which nothing but a copyright claim is left.
-_CLAIM = r"(?m)^[^a-z0-9\n]*(?:copyright(?: \(c\))?|\(c\))[^a-z0-9\n]*[0-9]{4}[^\n]*$"
+_CLAIM = r"^[^a-z0-9\n]*(?:copyright(?: \(c\))?|\(c\))[^a-z0-9\n]*[0-9]{4}[^\n]*$"
 #: One without a year.
-_CLAIM_NO_YEAR = r"(?m)^[^a-z0-9\n]*copyright *(?:\(c\)|©)[^\n]*$"
+_CLAIM_NO_YEAR = r"^[^a-z0-9\n]*copyright *(?:\(c\)|©)[^\n]*$"
+_GAP = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """Equal for texts that differ in case, punctuation, copyright lines and spelling."""
-    c = F.regexp_replace(ascii_lower(text_or_empty(text)), _CLAIM, "")
-    c = F.regexp_replace(c, _CLAIM_NO_YEAR, "")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def _words(line: Column) -> Column:
+    """A lower-case line's words with two spaces between, so that two spellings in a row share none; a claim has none."""
+    return F.trim(F.regexp_replace(F.when(line.rlike(_CLAIM) | line.rlike(_CLAIM_NO_YEAR), F.lit("")).otherwise(line), _GAP, "  "))
+
+
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(ascii_lower(text_or_empty(text)), "\n", -1), _words)
+
+
+def _whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), "  ")
+
+
+def _spelled(words: Column) -> Column:
+    c = F.concat(F.lit("  "), words, F.lit("  "))
     for a, b in SPELLINGS:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(c)
+        c = F.replace(c, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
+
 
+def canonical(text: Column) -> Column:
+    """Equal for texts that differ in case, punctuation, copyright lines and spelling."""
+    return _spelled(_whole(_lines(text)))
 
-#: Every text of known_licences() has one of these in canonical form, so no other unit can match it, whatever stands between the words.
-HINT = r"(?i)licen[cs]e|permission|redistribut|public[^\p{L}\p{N}]+domain|released[^\p{L}\p{N}]+under"
 
+#: Each text of known_licences() has one of these in its words, in either spelling, so a unit that has none matches none.
+HINT = "licen[cs]e|permission|redistribut|public  domain|released  under"
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", hint: str | None = None) -> DataFrame:
-    """doc_id, text_licence (of the whole text, or null), notices (matching lines), licences (their names, sorted, distinct).
 
-    hint: a pattern that every known text matches; units that don't are passed over.
-    """
-    if known is None:
-        known, hint = known_licences(docs.sparkSession), HINT
-    table = known.select(F.md5(canonical(F.col("text"))).alias("lc_digest"), F.col("name").alias("lc_name")).filter(F.col("lc_name").isNotNull()).groupBy("lc_digest").agg(F.min("lc_name").alias("lc_name"))
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_licence (of the whole text, or null), notices (matching lines), licences (their names, sorted, distinct)."""
+    hint = F.col("lc_unit").rlike(HINT) if known is None else F.col("lc_unit") != ""
+    known = known_licences(docs.sparkSession) if known is None else known
+    form = known.select(canonical(F.col("text")).alias("lc_form"), F.col("name").alias("lc_name")).filter((F.col("lc_form") != "") & F.col("lc_name").isNotNull())
+    table = form.groupBy(F.md5("lc_form").alias("lc_digest")).agg(F.min("lc_name").alias("lc_name"))
     if known.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
         table = F.broadcast(table)
     text = text_or_empty(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("lc_text"), F.xxhash64(text).alias("lc_row"))
-    units = rows.filter(F.col("lc_text").rlike(hint) if hint else F.lit(True)).select("doc_id", "lc_row", F.posexplode(F.concat(F.array("lc_text"), F.split("lc_text", "\n"))).alias("lc_at", "lc_unit"))
-    named = units.filter(F.col("lc_unit").rlike(hint) if hint else F.lit(True)).select("doc_id", "lc_row", "lc_at", F.md5(canonical(F.col("lc_unit"))).alias("lc_digest")).join(table, "lc_digest")
+    # The generators keep the lines, and then each unit, as columns; else every use below would work on the text again.
+    lines = rows.select("doc_id", "lc_row", F.explode(F.array(_lines(F.col("lc_text")))).alias("lc_lines"))
+    units = lines.select("doc_id", "lc_row", F.posexplode(F.concat(F.array(_whole(F.col("lc_lines"))), F.col("lc_lines"))).alias("lc_at", "lc_unit"))
+    named = units.filter(hint).select("doc_id", "lc_row", "lc_at", F.md5(_spelled(F.col("lc_unit"))).alias("lc_digest")).join(table, "lc_digest")
     # Sets, so that repeated rows of a document don't count its lines twice; a set holds one document's own lines.
     found = named.groupBy("doc_id", "lc_row").agg(
         F.max(F.when(F.col("lc_at") == 0, F.col("lc_name"))).alias("text_licence"),
@@ -137,15 +155,17 @@ def _sql_text(x: str) -> str:
 
 
 def _sql_canonical(x: str) -> str:
-    c = f"regexp_replace(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_sql_text(_CLAIM)}, '', 'g')"
-    c = f"' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    c = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for claim in (_CLAIM, _CLAIM_NO_YEAR):
+        c = f"regexp_replace({c}, {_sql_text('(?m)' + claim)}, '', 'g')"
+    c = f"'  ' || trim(regexp_replace({c}, {_sql_text(_GAP)}, '  ', 'g')) || '  '"
     for a, b in SPELLINGS:
-        c = f"replace({c}, {_sql_text(f' {a} ')}, {_sql_text(f' {b} ')})"
-    return f"md5(trim({c}))"
+        c = f"replace({c}, {_sql_text(f' {a} '.replace(' ', '  ')[1:-1])}, {_sql_text(f' {b} '.replace(' ', '  ')[1:-1])})"
+    return f"md5(trim(replace({c}, '  ', ' ')))"
 
 
 OP2_SQL = f"""
-WITH known(name, text) AS (VALUES {", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in [*TEXTS.items(), *((n, t) for n, ts in NOTICES.items() for t in ts)])}),
+WITH known(name, text) AS (VALUES {", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in [*full_texts(), *((n, t) for n, ts in NOTICES.items() for t in ts)])}),
 k AS (SELECT {_sql_canonical("text")} AS digest, min(name) AS name FROM known GROUP BY 1),
 u AS (
   SELECT doc_id, unnest(range(len(us))) AS pos, unnest(us) AS unit
