@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Texts are encoded in groups of about so many bytes; a longer text is cut between words.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
 #: Longer words are not kept.
 KEPT_BYTES = 64
 #: ASCII signs that are never part of a contraction.
@@ -218,6 +218,7 @@ class WordEncoder:
                 total += int(sizes[end])
                 end += 1
             yield from self.group(texts.slice(at, end - at))
+            pa.default_memory_pool().release_unused()
             at = end
 
     @staticmethod
