@@ -217,7 +217,8 @@ def _meet(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 def _calibrate(index: DataFrame, queries: DataFrame, tree, k: int, recall: float) -> int:
     """How many leaves to visit; brute force for at most CALIBRATE queries against all rows."""
-    picked = queries.orderBy(F.xxhash64("q"), "q").limit(CALIBRATE).collect()
+    # Checkpointed, as a limit that is collected directly sends so many rows of every partition to the driver.
+    picked = checkpointed(queries.select("q", "qvec").orderBy(F.xxhash64("q"), "q").limit(CALIBRATE)).collect()
     if not picked:
         return 1
     qs, qm = np.array([r["q"] for r in picked]), _matrix([r["qvec"] for r in picked])
