@@ -54,7 +54,8 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> tuple[list[str], list[fl
     """The corpus's most frequent words of 3 to 20 letters a-z (ties by the word), and log2 P(next letter | letter) for 26 x 26 pairs, over all its words."""
     word = F.explode(F.split(F.regexp_replace(ascii_lower(text_or_empty(f"`{text_col}`")), "[^a-z]+", " "), " "))
     counted = checkpointed(docs.select(word.alias("w")).filter(F.char_length("w").between(2, 20)).groupBy("w").count())
-    top = [r["w"] for r in counted.filter(F.char_length("w") > 2).orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect()]
+    # Checkpointed, as a limit that is collected directly sends so many rows of every partition to the driver.
+    top = [r["w"] for r in checkpointed(counted.filter(F.char_length("w") > 2).orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)).collect()]
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("w") - 1), lambda i: F.substring("w", i, F.lit(2))))
     seen = np.zeros((26, 26))
     for r in counted.select(pair.alias("p"), "count").groupBy("p").agg(F.sum("count").alias("n")).collect():  # at most 676 rows
