@@ -57,3 +57,12 @@ def test_emoji_word_counts_takes_whole_texts(spark, tmp_path):
 
     got = {x.doc_id: (x.runs, x.words, x.units) for x in registry.queries()["emoji_word_counts"](spark, d).collect()}
     assert got == {i: brute(t) for i, t in texts.items()} and got[3][2] == 9
+
+
+def test_csv_round_trip_keeps_every_character(spark, tmp_path):
+    ends = ["", " ", "x ", " x", "x\n", "\r", "a\rb", "x\r\n", "\t", "x\x0c", "\x01", "\x00", 'a\x00"b', 'x\x00\n"\x00"', '"', '""', 'x\\"', ",", "\ufeffx", "\u00a0", None]
+    rows = [(i, t, "web", 1) for i, t in enumerate(ends)] + [(100 + i, "t", t, None) for i, t in enumerate(ends)] + [(None, "t", "web", 1)]
+    d = stored(spark, tmp_path, "documents", rows, "doc_id long, text string, source string, n_chars long")
+    got = [tuple(x) for x in registry.queries()["csv_round_trip"](spark, d).select("doc_id", "source", "text_md5").collect()]
+    want = [(i, source, None if t is None else hashlib.md5(('a "quoted", ' + t).encode()).hexdigest()) for i, t, source, _ in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)

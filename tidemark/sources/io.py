@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -14,15 +15,25 @@ def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None
     return df.select(*columns) if columns else df
 
 
+def _read_csv(spark: SparkSession, path: str, multi_line: bool, schema: str | None = None) -> DataFrame:
+    """A field between quotes is text even if empty, one without is null if empty; a NUL before a quote stays, as the quote itself is what escapes it."""
+    empty = uuid.uuid4().hex  # Spark's reader makes nulls of empty strings, so they bear a name until they are read
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "emptyValue": empty}
+    reader = spark.read.options(**options)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[F.when(named(c) == empty, "").otherwise(named(c)).alias(c) if t == "string" else named(c) for c, t in df.dtypes])
+
+
 def csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Declared types; quoted fields may hold doubled quotes, and line ends with multi_line, which makes each file one task."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
+    df = _read_csv(spark, path, multi_line, schema)
     return df.select(*columns) if columns else df
 
 
 def csv_if_present(spark: SparkSession, path: str, wanted: Sequence[str], multi_line: bool = False) -> DataFrame:
     """All columns as strings, those of `wanted` that the header has."""
-    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    df = _read_csv(spark, path, multi_line)
     return df.select(*[c for c in wanted if c in df.columns])
 
 
@@ -150,10 +161,11 @@ def json_columns(df: DataFrame, col: str, prefix: str = "", keys: Sequence[str]
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False, bom: bool = False) -> None:
-    """single: one file, for a report that is known to be small. bom: every file begins with a byte order mark, as spreadsheets like it."""
+    """Values stay as they are, white space at their ends included; of one column alone, nulls are not kept, as they would be empty lines. single: one file, for a report that is known to be small. bom: every file begins with a byte order mark, as spreadsheets like it."""
     if bom:
         df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(**options).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
